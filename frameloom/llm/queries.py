@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from frameloom.llm.garbled import find_garbled
 from frameloom.llm.ngrams import ngram_counts, term_bands
+from frameloom.llm.mixing import entropy, exponent_for_entropy, mix, tempered
+from frameloom.llm.packing import pack
 from frameloom.llm.similar import most_similar
-from frameloom.runtime import table
+from frameloom.llm.tokens import token_counts
+from frameloom.runtime import cut, table
 
 
 def _p2(spark: SparkSession, d: str, least: float) -> DataFrame:
@@ -51,6 +54,53 @@ def p3_base_ngrams(spark: SparkSession, d: str) -> DataFrame:
     return counts.select(F.array_join("ngram", " ").alias("ngram"), F.size("ngram").alias("length"), "n", "n_records")
 
 
+def _p6(spark: SparkSession, d: str) -> DataFrame:
+    sizes = cut(token_counts(table(spark, d, "documents"), "text", ["doc_id"]))
+    profiles = [(r["profile"], r["capacity_tokens"]) for r in table(spark, d, "pack_sizes").collect()]  # a fixed table of three rows
+    return pack(sizes, "doc_id", "n_tokens", profiles)
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every document (piece) with its container, for each profile."""
+    return _p6(spark, d)
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, tokens and the share of room used, for each profile."""
+    boxes = _p6(spark, d).groupBy("profile", "container").agg(F.sum("length").alias("filled"))
+    per = boxes.groupBy("profile").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("filled").alias("n_tokens"))
+    return per.join(F.broadcast(table(spark, d, "pack_sizes")), "profile").withColumn("fill", F.round(F.col("n_tokens") / F.col("n_containers") / F.col("capacity_tokens"), 6))
+
+
+def _p7_inputs(spark: SparkSession, d: str):
+    sizes = cut(token_counts(table(spark, d, "documents"), "text", ["doc_id", "source"]))
+    return sizes, [tuple(r) for r in table(spark, d, "mix_targets").select("source", "target_share", "max_repeats").collect()]  # a fixed table of eight rows
+
+
+def p7_selection(spark: SparkSession, d: str) -> DataFrame:
+    """The selected documents with their tokens and how often each is used."""
+    sizes, targets = _p7_inputs(spark, d)
+    return mix(sizes, "doc_id", "source", "n_tokens", targets)[0].withColumnRenamed("size", "n_tokens")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of each source."""
+    sizes, targets = _p7_inputs(spark, d)
+    return mix(sizes, "doc_id", "source", "n_tokens", targets)[1]
+
+
+def p7_temperature(spark: SparkSession, d: str) -> DataFrame:
+    """Natural shares, and the shares tempered to the entropy of the targets, without looking at the single targets."""
+    sizes, targets = _p7_inputs(spark, d)
+    names = [s for s, _, _ in targets]
+    held = {r["source"]: float(r["n"]) for r in sizes.where(F.col("source").isin(names)).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect() if r["n"]}
+    exponent = exponent_for_entropy(held, entropy({s: w for s, w, _ in targets}))
+    shares = {s: n / sum(held.values()) for s, n in held.items()}
+    weights = tempered(shares, exponent)
+    rows = [(s, int(held[s]), round(shares[s], 9), round(exponent, 9), round(weights[s], 9)) for s in sorted(held)]
+    return spark.createDataFrame(rows, "source string, n_tokens long, share double, exponent double, weight double")
+
+
 def _p8(spark: SparkSession, d: str) -> DataFrame:
     return find_garbled(table(spark, d, "documents"), "doc_id", "text", "lang")
 
@@ -83,4 +133,4 @@ SQL = {
         select ngram, length, count(*) as n, count(distinct sent_id) as n_records from g group by 1, 2""",
 }
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_most_similar, p3_found, p3_terms, p3_base_ngrams, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_most_similar, p3_found, p3_terms, p3_base_ngrams, p6_containers, p6_fill, p7_selection, p7_shares, p7_temperature, p8_found, p8_restored)}
