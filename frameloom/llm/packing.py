@@ -91,7 +91,8 @@ def pack(df: DataFrame, key: str, size: str, profiles: list[tuple[str, int]], bl
     kind = df.schema[key].dataType.simpleString()
     # rand with a seed spreads also a third of the rows under one key; a re-run task over the same files draws the same
     spread = items.withColumn("block", F.floor(F.rand(11) * blocks).cast("int")).withColumn("profile", F.explode(F.array(*[F.struct(F.lit(p).alias("name"), F.lit(c).cast("long").alias("capacity")) for p, c in profiles])))
-    flat = spread.select("profile.name", "profile.capacity", "block", "id", "size")
+    # a block is little data and much work: one partition for each, not as many as the size of the data asks for
+    flat = spread.select("profile.name", "profile.capacity", "block", "id", "size").repartition(min(4096, 2 * blocks * len(profiles)), "name", "capacity", "block")
 
     def run(table: pa.Table) -> pa.Table:
         name, capacity, block = (table[c][0].as_py() for c in ("name", "capacity", "block"))
