@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from frameloom.functions import attachment as E
 from frameloom.functions import labels as L
+from frameloom.operators import annotate as A
 from frameloom.operators import corpus as C
 from frameloom.operators import frames as V
+from frameloom.operators import models as M
+from frameloom.operators import search as X
 from frameloom.operators import statistics as S
 from frameloom.operators.hierarchy import hierarchy
-from frameloom.runtime import table, tidy
+from frameloom.runtime import cut, table, tidy
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -571,3 +575,84 @@ def o130_cascade(spark, d):
 def o124_selectional_association(spark, d):
     """Selectional association of heads: p(head | predicate, slot) weighted log ratio to p(head | slot)."""
     return S.selectional_association(_sr(spark, d), "predicate", "slot", "head").select("predicate", "slot", "head", F.round("association", 6).alias("association"))
+
+
+# --- annotation and models, which SQL can't express --------------------------------------------------------------
+
+
+def _sie_verbs() -> frozenset:
+    return frozenset(("bać", "śmiać", "stać", "znać", "uczyć", "zacząć"))
+
+
+@query()
+def o99_attachment_ablation(spark, d):
+    """Accuracy of every ensemble of rules and both baselines against the corpus's attachments (O-91 to O-100)."""
+    s = A.with_dictionary(A.nested_sentences(_tokens(spark, d)), _frames(spark, d))
+    x = A.attach_arguments(s, [*E.ENSEMBLES, "nearest", "nearest_argument"], _sie_verbs(), heads=False)
+    return x.groupBy("rules").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("predicate_no") == F.col("gold")).alias("correct")).withColumn("accuracy", F.round(F.col("correct") / F.col("n"), 6))
+
+
+@query()
+def o101_attached_arguments(spark, d):
+    """Predicate and semantic head of every argument by the production rules."""
+    s = A.with_dictionary(A.nested_sentences(_tokens(spark, d)), _frames(spark, d))
+    return A.attach_arguments(s, ["production"], _sie_verbs()).drop("rules", "gold")
+
+
+@query()
+def o104_extracted_arguments(spark, d):
+    """Arguments labelled by a CRF, attached and headed, over all sentences."""
+    s = A.nested_sentences(_tokens(spark, d))
+    return A.extract_arguments(s, A.train_labeller(s, most_sentences=120, rounds=4), sie_verbs=_sie_verbs())
+
+
+def _occurrence_rows(spark, d):
+    t = _tokens(spark, d)
+    args = C.arguments(t)
+    return A.occurrence_rows(t, C.occurrences(t), args, C.extended_arguments(t).select("sent_id", "predicate_no", "word_no", "label"))
+
+
+@query()
+def o130_frame_choices(spark, d):
+    """Frames by a cascade: maximal matching first; where it abstains, Bayes and a vote with counts from the first pass."""
+    rows, frames = cut(_occurrence_rows(spark, d)), cut(_frames(spark, d))
+    first = A.choose_frames(rows, frames, "max:false,maxNoXP:false").where("frame_text is not null")
+    counts = first.groupBy("frame_text").agg(F.count(F.lit(1)).alias("n"))
+    spec = "max:false,lex:true,maxNoXP:true,bayes:true:0.1:20.0:false,negbayes:true:0.4:50.0:false,cost,vec:random:0.1,vote:1.5:bayes:true:0.2:50.0:false@1.0;max:true@0.8;maxNoXP:false@0.7"
+    return A.choose_frames(rows, frames, spec, counts)
+
+
+@query()
+def o135_logistic_scores(spark, d):
+    """Each embedding under the model of its own label against the rest: 2p - 1."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+    labels = e.select("label").where("label is not null").distinct().withColumnRenamed("label", "target")
+    pairs = e.join(F.broadcast(labels)).withColumn("y", (F.col("label") == F.col("target")).cast("int"))  # ten labels: a fixed small set
+    models = M.logistic_models(pairs, "target", "x", "y", "vec_id")
+    return e.join(models, e.label == models.target).select("vec_id", "label", F.round(M.logistic_score(F.col("x"), F.col("weights")), 4).alias("score"))
+
+
+@query()
+def o137_forest_scores(spark, d):
+    """Probability of being right for every decision on a frequent predicate, by a forest per predicate."""
+    r = _results(spark, d).where("predicate is not null and value is not null").groupBy("predicate", "result_id").agg(F.max("value").alias("value"), F.max("classifier").alias("classifier"), F.max("sent_id").alias("sent_id"))
+    t = _tokens(spark, d).groupBy("sent_id").agg(F.count(F.lit(1)).alias("n_words"), F.count("label").alias("n_args"))
+    x = r.join(t, "sent_id", "left").withColumn("x", F.array(F.col("classifier").cast("double"), F.col("n_words").cast("double"), F.col("n_args").cast("double")))
+    return M.forest_scores(x, "predicate", "x", "value", "result_id").withColumn("prob", F.round("prob", 4))
+
+
+@query()
+def o139_cascade_search(spark, d):
+    """The best cascade of the classifiers found by annealing, with its scores."""
+    r = _results(spark, d).where("predicate is not null")
+    found, accuracy, precision = X.anneal(X.outcome_patterns(r, ["sent_id", "predicate"], "classifier", "value"))
+    return spark.createDataFrame([(";".join("+".join(map(str, s)) for s in found), round(accuracy, 6), round(precision, 6))], "cascade string, accuracy double, precision double")
+
+
+@query()
+def o140_random_expectation(spark, d):
+    """Accuracy of the first classifier, abstentions counted as a random choice would score."""
+    r = _results(spark, d).where("predicate is not null")
+    base = o64_random_baseline(spark, d).agg((F.sum("expected") / F.sum("n_groups")).alias("b")).first()[0] or 0.0
+    accuracy, precision = X.cascade_score(X.outcome_patterns(r, ["sent_id", "predicate"], "classifier", "value"), [(0,)], base)
+    return spark.createDataFrame([(round(base, 6), round(accuracy, 6))], "baseline double, accuracy double")
