@@ -24,7 +24,7 @@ READ = ("cp1252", "latin-1", "cp1250", "iso8859-2", "cp852", "cp437", "mac_roman
 
 BUCKETS = 8192
 #: Bounds of the training sample: documents and characters of one document.
-SAMPLE_DOCS, SAMPLE_CHARS = 4000, 8000
+SAMPLE_DOCS, SAMPLE_CHARS = 3000, 8000
 WINDOW_TOKENS = 60
 LEAST_GAIN = 4.0
 TRIED_CHAINS = 8
