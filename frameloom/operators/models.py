@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from frameloom.runtime import task_count
+
 #: Models are fitted on at most so many rows of each key and class, drawn by a hash.
 MOST_ROWS = 5000
 
@@ -39,7 +41,7 @@ def logistic_models(df: DataFrame, key: str, features: str, target: str, record:
         weights = [fit_logistic(np.array(table["x"].to_pylist(), float), y).tolist()] if known else []
         return pa.table({"key": table["key"].combine_chunks()[: int(known)], "weights": pa.array(weights, pa.list_(pa.float64()))})
 
-    rows = bounded(df, key, target, record).select(F.col(key).alias("key"), F.col(features).cast("array<double>").alias("x"), F.col(target).cast("int").alias("y"))
+    rows = bounded(df, key, target, record).select(F.col(key).alias("key"), F.col(features).cast("array<double>").alias("x"), F.col(target).cast("int").alias("y")).repartition(task_count(df), "key")
     return rows.groupBy("key").applyInArrow(fit, f"key {kind}, weights array<double>").withColumnRenamed("key", key)
 
 
@@ -100,7 +102,7 @@ def forest_scores(df: DataFrame, key: str, features: str, target: str, record: s
         return pa.table({"key": table["key"].combine_chunks()[: int(known)], "model": pa.array(model, pa.binary())})
 
     rows = df.select(F.col(key).alias("key"), F.col(record).alias("record"), F.transform(F.col(features).cast("array<double>"), lambda v: F.coalesce(v, F.lit(-9999.0))).alias("x"), F.col(target).cast("int").alias("y"))
-    models = bounded(rows, "key", "y", "record").groupBy("key").applyInArrow(fit, f"key {kinds[key]}, model binary")
+    models = bounded(rows, "key", "y", "record").repartition(task_count(df), "key").groupBy("key").applyInArrow(fit, f"key {kinds[key]}, model binary")
 
     def score(part: pa.Table, model: pa.Table) -> pa.Table:
         if not part.num_rows or not model.num_rows:
@@ -113,5 +115,6 @@ def forest_scores(df: DataFrame, key: str, features: str, target: str, record: s
     # a model travels once per bucket of rows, not with every row; a hot key's rows are spread over all buckets
     spread = rows.withColumn("bucket", F.pmod(F.xxhash64("record"), F.lit(buckets).cast("long")))
     copies = models.withColumn("bucket", F.explode(F.array(*[F.lit(i).cast("long") for i in range(buckets)])))
-    scored = spread.groupBy("key", "bucket").cogroup(copies.groupBy("key", "bucket"))
+    n = task_count(df)
+    scored = spread.repartition(n, "key", "bucket").groupBy("key", "bucket").cogroup(copies.repartition(n, "key", "bucket").groupBy("key", "bucket"))
     return scored.applyInArrow(score, f"key {kinds[key]}, record {kinds[record]}, prob double").withColumnsRenamed({"key": key, "record": record})

@@ -37,6 +37,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def task_count(df: DataFrame) -> int:
+    """Tasks for a stage of heavy Python work: as many as a shuffle has, and no fewer than twice the cores."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
 def fresh_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or a variant of it that no column of ``df`` has (names compare without case)."""
     taken = {c.lower() for c in df.columns}
