@@ -108,6 +108,13 @@ def _bigrams(text: str) -> np.ndarray:
     return ((pair * np.uint32(2654435761)) >> np.uint32(19)).astype(np.int64)  # the top 13 bits: 8192 buckets
 
 
+def _total(by_bucket: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sum of the rows ``at``; of a very long word by counts, so that memory doesn't grow with it."""
+    if at.size <= 2048:
+        return by_bucket[at].sum(0)
+    return np.bincount(at, minlength=len(by_bucket)).astype(np.float32) @ by_bucket
+
+
 def windows(tokens: list[str]):
     """Ranges of ``tokens`` (words at even places, blanks at odd ones): sentences or lines, of at most 60 words."""
     start = 0
@@ -149,11 +156,11 @@ class ChainModel:
         return cls(langs, np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32))
 
     def scores(self, text: str) -> np.ndarray:
-        return self.by_bucket[_bigrams(f" {text} ")].sum(0).reshape(len(self.langs), self.width)
+        return _total(self.by_bucket, _bigrams(f" {text} ")).reshape(len(self.langs), self.width)
 
     def clean_score(self, text: str) -> tuple[float, str]:
         """Log probability as clean text of the likeliest language, and that language."""
-        each = self.clean_by_bucket[_bigrams(f" {text} ")].sum(0)
+        each = _total(self.clean_by_bucket, _bigrams(f" {text} "))
         return float(each.max()), self.langs[int(each.argmax())]
 
     def order(self, text: str) -> list[int]:

@@ -46,6 +46,8 @@ def test_held_out_accuracy(clean):
         assert G.examine(fine, model) is None, fine
     whole = G.examine("Dobry dom. " + G.garble("Zwykła droga śledzi łódź.", ("utf-8", "cp1252", 1)) + " Żółta gęś.", model)
     assert whole[1:] == (True, "Dobry dom. Zwykła droga śledzi łódź. Żółta gęś.")
+    long = "łódź" * 300_000
+    assert G.examine(G.garble(long, ("utf-8", "cp1252", 1)), model)[2] == long and G.examine(long, model) is None
     assert G.examine("Zna� drog�.", model)[:2] == ("replaced", False)
 
 
