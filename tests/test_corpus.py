@@ -13,7 +13,8 @@ from frameloom.operators import corpus as C
 from frameloom.operators import models as M
 from frameloom.operators import search as X
 from frameloom.operators import statistics as S
-from frameloom.plans import corpus, general
+from frameloom.operators import tokens as K
+from frameloom.plans import corpus, features, general
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,11 +31,11 @@ def _plain(v):
     return round(v, 5) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(corpus.SQL | general.SQL))
+@pytest.mark.parametrize("name", sorted(corpus.SQL | general.SQL | features.SQL))
 def test_against_sql(spark, duck, name):
-    queries = corpus.QUERIES | general.QUERIES
+    queries = corpus.QUERIES | general.QUERIES | features.QUERIES
     df = queries[name](spark, SF)
-    want = duck.sql((corpus.SQL | general.SQL)[name])
+    want = duck.sql((corpus.SQL | general.SQL | features.SQL)[name])
     cols = sorted(df.columns)
     assert sorted(want.columns) == cols
     at = [want.columns.index(c) for c in cols]
@@ -91,6 +92,24 @@ def test_nearest_predicate_table(spark):
     assert got == {0: 1, 2: 1, 5: 6, 7: 6}
 
 
+def test_cost_rule_table_agrees_with_sentences(spark):
+    """The window form of the cost rule and the form of one sentence at a time."""
+    t = C.tokens_once(spark.read.parquet(f"{SF}/tokens.parquet"))
+    got = {(r["sent_id"], r["word_no"]): r["predicate"] for r in K.nearest_by_argument(t).collect()}
+    seen = 0
+    sentences: dict = {}
+    for r in t.orderBy("sent_id", "word_no").collect():
+        sentences.setdefault(r["sent_id"], []).append(r)
+    for sid, rows in sentences.items():
+        ws = [Word(r["orth"] or "", r["base"] or "", r["ctag"] or "") for r in rows]
+        found = E.attach(ws, [r["label"] or "_" for r in rows], ["argument"])
+        for r, p in zip(rows, found):
+            if r["label"]:
+                assert got[sid, r["word_no"]] == (None if p is None else rows[p]["word_no"])
+                seen += 1
+    assert seen == len(got) > 100
+
+
 BRIDGE = [
     ("np(bier)", ["np(acc)"], True), ("np(bier)", ["np(str)"], True), ("np(dop)", ["np(part)"], True), ("np(cel)", ["np(str)"], False), ("adjp(narz)", ["adjp(pred)"], True),
     ("prepnp(do,dop)", ["prepnp(do,gen)"], True), ("prepnp(na,bier)", ["prepnp(na,str)"], True), ("prepnp(jako,mian)", ["prepnp(jako,str)"], True), ("sentp(że)", ["cp(żeby2)"], True),
