@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Letters and marks of the five languages of the texts, by language, and signs common in all.
-LETTERS = {"pl": "ąćęłńóśźż", "en": "", "de": "äöüß", "fr": "àâæçèéêëîïôœùûüÿ", "es": "áéíñóúü"}
+LETTERS = {"pl": "ąćęłńóśźż", "en": "ï", "de": "äöüß", "fr": "àâæçèéêëîïôœùûüÿ", "es": "áéíñóúü"}
 SIGNS = "„“”‚‘’«»–—…§°€ ¿¡"
 #: Encodings of one byte a character that text is written in, and that it is read in.
 WRITTEN = ("cp1250", "iso8859-2", "cp852", "cp1252", "mac_roman", "mac_latin2", "cp437", "cp850")
@@ -35,7 +35,8 @@ _ENDS = re.compile(r"[.?!][\"”»)\]]*$")
 _POLISH = "".join(LETTERS["pl"]) + LETTERS["pl"].upper() + "„”–—…"
 _SUSPECT = re.compile(f"[^\x00-\x7f{_POLISH}]")
 _ODD = re.compile("[^\x00-\x7f" + "".join(map(re.escape, sorted(CLEAN))) + "]")
-_REPLACED = re.compile(r"[^\W\d_]�|�[^\W\d_]")
+_CONTROL = re.compile(r"[^\W\d_][\x80-\x9f]|[\x80-\x9f][^\W\d_]")
+_REPLACED = re.compile(r"[^\W_]�|�[^\W_]")
 
 
 @cache
@@ -178,7 +179,7 @@ def _plausible(before: str, after: str) -> bool:
             continue
         left, right = after[max(0, i - 1) : i], after[i + 1 : i + 2]
         if b.isalpha():
-            if not (left.isalpha() or right.isalpha()) or left.isdigit() or right.isdigit() or (b.isupper() and left.islower()):
+            if not (left.isalpha() or right.isalpha() or left == "’") or left.isdigit() or right.isdigit() or (b.isupper() and left.islower()):
                 return False
         elif left.isalpha() and right.isalpha() and b != "’":
             return False
@@ -189,11 +190,15 @@ def _invert_words(words: list[str], chain: tuple[str, str, int]) -> list[str] |
     """The words with those inverted that the chain explains; None where it explains none or leaves an odd one."""
     out, changed = [], 0
     for w in words:
-        back = None if w.isascii() else restore(w, chain)
-        if back is not None and back != w and not any(ord(c) < 32 or 127 <= ord(c) < 160 for c in back) and (chain[0] == "utf-8" or not _ODD.search(back) and _plausible(w, back)):
-            out.append(back)
-            changed += 1
-            continue
+        back = None if w.isascii() or not _SUSPECT.search(w) and chain[0] == "utf-8" else restore(w, chain)
+        if back is not None and back != w and not any(ord(c) < 32 or 127 <= ord(c) < 160 for c in back):
+            if chain[0] == "utf-8" or not _ODD.search(back) and _plausible(w, back):
+                out.append(back)
+                changed += 1
+                continue
+            if not any(c.isalnum() for c in back) and not _ODD.search(back):  # a sign by itself goes along, but proves nothing
+                out.append(back)
+                continue
         if chain[0] != "utf-8" and _ODD.search(w):
             return None
         out.append(w)
@@ -235,11 +240,14 @@ def examine(text: str, model: ChainModel) -> tuple[str | None, bool, str] | None
         tried = model.order(" ".join(w for w in words if not w.isascii()) if len(words) > 8 else whole)
         if tried[0] < 0 and not odd:
             continue
+        top = model.chains[tried[0]] if tried[0] >= 0 else None
+        broken = top is not None and top[0] == "utf-8" and _broken_leads(words, top[1])
+        torn = _CONTROL.search(whole) is not None
         fits = {}
         before, _ = model.clean_score(whole)
         for rank, c in enumerate(x for x in tried if x >= 0):
             chain = model.chains[c]
-            if rank >= TRIED_CHAINS and (fits or chain[0] != "utf-8" or not odd):
+            if rank >= TRIED_CHAINS and (fits or not odd or (chain[0] != "utf-8" and not torn)) or (broken and chain[0] != "utf-8"):
                 continue
             back = _invert_words(words, chain)
             if back is None:
@@ -249,11 +257,12 @@ def examine(text: str, model: ChainModel) -> tuple[str | None, bool, str] | None
                 fits[chain] = after - before, back
         if fits:
             options.append((a, b, fits))
-        elif tried[0] >= 0 and odd:
-            chain = model.chains[tried[0]]
-            if chain[0] == "utf-8" and _broken_leads(words, chain[1]):
-                lost = True
-                named.append("lossy {}>{}".format(*chain[:2]))
+        if broken and (not fits or any(_ODD.search(w) for w in max(fits.values())[1])):
+            lost = True
+            named.append("lossy {}>{}".format(*top[:2]))
+        elif torn and not fits:
+            lost = True
+            named.append("unknown")
     total: dict[tuple[str, str, int], float] = {}
     for _, _, fits in options:
         for chain, (gain, _) in fits.items():
@@ -280,7 +289,7 @@ def find_garbled(df: DataFrame, key: str, text: str, lang: str, sample_docs: int
     """Documents whose text, or a stretch of it, was read in another encoding than it was written in.
 
     Columns: ``key``, ``chain`` (the chains found, written>read and how often; ``replaced`` where characters were lost to
-    U+FFFD; ``lossy`` where bytes were dropped), ``restorable`` and ``restored`` (the text with all stretches restored
+    U+FFFD; ``lossy`` where bytes were dropped; ``unknown`` for control characters within words that no chain explains), ``restorable`` and ``restored`` (the text with all stretches restored
     that can be). Null, empty and blank texts are never garbled; each row is judged by itself, repeated rows included; the whole
     text is read, however long, in windows of a sentence. Other columns are ignored.
     """
