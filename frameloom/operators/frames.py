@@ -69,12 +69,15 @@ def max_frames(cases: DataFrame, frames: DataFrame) -> DataFrame:
 def frame_swappers(frames: DataFrame) -> DataFrame:
     """Predicates that have all frame bodies of another one (O-55): relational division by counting, self left out.
 
-    Only pairs that share a body are built; bodies are distinct per predicate first."""
+    A predicate's candidates are those that share its rarest body, so a body that most predicates have makes no pairs
+    except for those that have no other; then the bodies of each candidate are counted."""
     bodies = frames.where("predicate is not null and body is not null").select("predicate", "body").distinct()
-    sizes = bodies.groupBy("predicate").agg(F.count(F.lit(1)).alias("n"))
+    spread = bodies.groupBy("body").agg(F.count(F.lit(1)).alias("m"))
+    anchors = bodies.join(spread, "body").groupBy("predicate").agg(F.count(F.lit(1)).alias("n"), F.min_by("body", F.struct("m", "body")).alias("body"))
     other = bodies.withColumnRenamed("predicate", "other")
-    shared = bodies.join(other, "body").where("predicate <> other").groupBy("predicate", "other").agg(F.count(F.lit(1)).alias("shared"))
-    return shared.join(sizes, "predicate").where("shared = n").select("predicate", "other", F.col("n").alias("n_bodies"))
+    candidates = anchors.join(other, "body").where("predicate <> other").select("predicate", "other", "n")
+    shared = candidates.join(bodies, "predicate").join(other, ["other", "body"]).groupBy("predicate", "other", "n").agg(F.count(F.lit(1)).alias("shared"))
+    return shared.where("shared = n").select("predicate", "other", F.col("n").alias("n_bodies"))
 
 
 def comparable(frame_text):

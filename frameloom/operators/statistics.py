@@ -38,8 +38,8 @@ def assignment_scores(df: DataFrame) -> DataFrame:
 def error_shares(df: DataFrame, key: str, ok: str, above: int) -> DataFrame:
     """Errors per key and their share in all errors, for keys with more than ``above`` rows (O-70)."""
     per = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.sum(ok)).alias("errors"))
-    total = per.agg(F.sum("errors").alias("all_errors"))
-    return per.join(F.broadcast(total)).where(F.col("n") > above).select(key, "n", "errors", _ratio(F.col("errors"), F.col("all_errors")).alias("error_share"))
+    total = per.agg(F.sum("errors")).scalar()
+    return per.where(F.col("n") > above).select(key, "n", "errors", _ratio(F.col("errors"), total).alias("error_share"))
 
 
 def _ranked_values(df: DataFrame, group: str, value: str) -> tuple[DataFrame, DataFrame]:
@@ -88,9 +88,10 @@ def bayes_posterior(df: DataFrame, label: str, feature: str, smoothing: float =
     """Naive Bayes posterior of each label seen with a feature, normalised over these (O-132, the corrected formula)."""
     joint = df.where(F.col(label).isNotNull() & F.col(feature).isNotNull()).groupBy(feature, label).agg(F.count(F.lit(1)).alias("c"))
     prior = joint.groupBy(label).agg(F.sum("c").alias("n"))
-    size = joint.agg(F.countDistinct(feature).alias("k"), F.sum("c").alias("t"), F.countDistinct(label).alias("p"))
+    features = joint.agg(F.countDistinct(feature)).scalar()
+    total, labels = prior.agg(F.sum("n")).scalar(), prior.agg(F.count(F.lit(1))).scalar()
     lam = F.lit(smoothing)
-    scored = joint.join(prior, label).join(F.broadcast(size)).withColumn("s", F.log((F.col("n") + lam) / (F.col("t") + lam * F.col("p"))) + F.log((F.col("c") + lam) / (F.col("n") + lam * F.col("k"))))
+    scored = joint.join(prior, label).withColumn("s", F.log((F.col("n") + lam) / (total + lam * labels)) + F.log((F.col("c") + lam) / (F.col("n") + lam * features)))
     per = scored.groupBy(feature).agg(F.max("s").alias("m"))
     shifted = scored.join(per, feature).withColumn("e", F.exp(F.col("s") - F.col("m")))
     total = shifted.groupBy(feature).agg(F.sum("e").alias("z"))

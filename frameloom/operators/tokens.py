@@ -11,6 +11,7 @@ from frameloom.functions import labels as L
 from frameloom.functions.attachment import AUX_BARRIERS, AUXILIARIES, COORDINATORS
 from frameloom.functions.labeling import NONCH
 from frameloom.functions.slots import QUESTION_WORDS
+from frameloom.operators.corpus import global_index
 
 
 def _order():
@@ -111,8 +112,8 @@ def runs(tokens: DataFrame, value: Column) -> DataFrame:
 
 def category_index(df: DataFrame, column: str) -> DataFrame:
     """Index of each category by frequency, ties by name (O-141): encode by joining it; binarise by comparing."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("index", F.row_number().over(Window.orderBy(F.desc("n"), column)) - 1)
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"), (-F.count(F.lit(1))).alias("rarity"))
+    return global_index(counts, ["rarity", column]).drop("rarity")
 
 
 def split_sums(units: DataFrame, pairs: DataFrame) -> DataFrame:

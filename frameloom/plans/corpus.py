@@ -626,8 +626,8 @@ def o130_frame_choices(spark, d):
 def o135_logistic_scores(spark, d):
     """Each embedding under the model of its own label against the rest: 2p - 1."""
     e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
-    labels = e.select("label").where("label is not null").distinct().withColumnRenamed("label", "target")
-    pairs = e.join(F.broadcast(labels)).withColumn("y", (F.col("label") == F.col("target")).cast("int"))  # ten labels: a fixed small set
+    labels = sorted(r[0] for r in e.select("label").where("label is not null").distinct().collect())  # a class label: ten in the tables
+    pairs = e.withColumn("target", F.explode(F.array(*[F.lit(x) for x in labels]))).withColumn("y", (F.col("label") == F.col("target")).cast("int"))
     models = M.logistic_models(pairs, "target", "x", "y", "vec_id")
     return e.join(models, e.label == models.target).select("vec_id", "label", F.round(M.logistic_score(F.col("x"), F.col("weights")), 4).alias("score"))
 
