@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from frameloom.functions import attachment as E
 from frameloom.functions import labeling as B
 from frameloom.functions import labels as L
+from frameloom.functions import preferences as Q
 from frameloom.functions import slots as T
 from frameloom.functions.attachment import Word
 from frameloom.operators import corpus as C
@@ -144,6 +145,27 @@ def test_dictionary_lines():
     assert T.parse_lex("lex(np(acc),pl,OR('oko';'ucho'),natr)").heads == ("oko", "ucho")
 
 
+def test_gold_arguments():
+    gold = T.parse_gold_arguments("[subj{np(str)} <np(nom)>] + [{prepnp(do,gen); xp(adl)} <prepnp(do,gen); xp(adl)>]")
+    assert [(g.slot, g.realizations) for g in gold] == [("subj{np(str)}", ("np(nom)",)), ("{prepnp(do,gen); xp(adl)}", ("prepnp(do,gen)", "xp(adl)"))]
+    frame = T.parse_frame("iść: pewny: _: : imperf: subj{np(str)} + {prepnp(do,gen);xp(adl)}")
+    assert T.covers(frame, [g.slot for g in gold]) and not T.covers(frame, ["obj{np(str)}"]) and T.covers(frame, [])
+    assert T.parse_gold_arguments("") == []
+
+
+def test_preferences():
+    up = {1: {10, 100}, 2: {10, 100}, 3: {20, 100}}
+    p = Q.Preferences({("jeść", "obj", "jabłko"): 30, ("jeść", "obj", "gruszka"): 10, ("jeść", "obj", "stół"): 2, ("widzieć", "obj", "stół"): 30, ("widzieć", "obj", "jabłko"): 5},
+                      {"jabłko": {1}, "gruszka": {2}, "stół": {3}, "śliwka": {2}}, up)
+    for score in (p.association, p.split_sum, p.class_estimate):
+        assert score("jeść", "obj", "gruszka") > score("jeść", "obj", "stół")
+        assert score("jeść", "obj", "śliwka") is not None  # an unseen word scores by its class
+        assert score("jeść", "obj", "nieznane") is None and score("nic", "obj", "stół") is None
+    assert p.split_sum("jeść", "obj", "jabłko") > 0 > p.split_sum("jeść", "obj", "stół") and set(p.scorers()) == {"selassoc", "clark", "splitsum"}
+    bounds = p.percentiles("jeść", "obj", p.split_sum)
+    assert len(bounds) == 100 and bounds == sorted(bounds) and p.percentiles("nic", "obj", p.split_sum) == [0.0]
+
+
 def test_slot_matching():
     frame = T.parse_frame("kupić: pewny: _: : perf: subj{np(str)} + obj{np(str)} + {lex(prepnp(do,gen),sg,'sklep',natr)} + {fixed('chleb')}")
     m = T.SlotMatcher(SHOP)
