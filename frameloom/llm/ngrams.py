@@ -68,14 +68,17 @@ class SuffixStack:
 def _suffixes(rows: DataFrame, groups: list[str], max_len: int) -> DataFrame:
     """Every position's suffix, truncated to ``max_len`` terms. Each term goes to the starts it can belong to, so no
     task ever holds a whole record, however long."""
-    alone = rows.select(*groups, "record", "position", F.array("term").alias("suffix"))
+    # copies of a row are merged before they are routed, so that they never pile up in one task
+    keyed = rows.where("record is not null and position is not null").distinct()
+    loose = rows.where("record is null or position is null")
+    alone = lambda df: df.select(*groups, "record", "position", F.array("term").alias("suffix"))
     if max_len == 1:
-        return alone
+        return alone(keyed).unionByName(alone(loose))
     placed = rows.where("record is not null and position is not null").groupBy(*groups, "record", "position").agg(F.min("term").alias("term"))
     spread = placed.select(*groups, "record", "term", F.explode(F.sequence(F.lit(0), F.lit(max_len - 1))).alias("j"), "position").withColumn("position", F.col("position") - F.col("j"))
     gathered = spread.groupBy(*groups, "record", "position").agg(F.array_sort(F.collect_list(F.struct("j", "term"))).alias("after"))
     runs = gathered.select(*groups, "record", "position", F.transform(F.filter("after", lambda x, i: x["j"] == i), lambda x: x["term"]).alias("suffix")).where("size(suffix) > 0")
-    return runs.unionByName(alone.where("record is null or position is null"))
+    return runs.unionByName(alone(loose))
 
 
 def ngram_counts(df: DataFrame, record: str, position: str, term: str, max_len: int = 1, groups: tuple[str, ...] = (), shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -100,7 +103,7 @@ def ngram_counts(df: DataFrame, record: str, position: str, term: str, max_len:
     if frequent:
         width = F.create_map(*[F.lit(x) for r in frequent for x in ("\x1f".join([*(str(r[c]) for c in g), r["term"]]), max(base, math.ceil(4 * r["n"] / shard_rows)))])
         salts = F.coalesce(F.element_at(width, F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in g], F.element_at("suffix", 1))), salts)
-    routed = _suffixes(rows, g, max_len).withColumn("first", F.element_at("suffix", 1)).withColumn("salt", F.pmod(F.xxhash64("record", F.when(F.col("record").isNull(), F.col("position"))), salts.cast("long")))
+    routed = _suffixes(rows, g, max_len).withColumn("first", F.element_at("suffix", 1)).withColumn("salt", F.pmod(F.coalesce(F.xxhash64(F.when(F.col("record").isNotNull(), F.col("record"))), F.lit(0)) + F.when(F.col("record").isNull(), F.floor(F.rand(3) * (1 << 40))).otherwise(0), salts.cast("long")))
     ordered = routed.repartition(*g, "first", "salt").sortWithinPartitions(*g, "first", "salt", F.col("suffix").desc(), "record", "position")
     fields = [ordered.schema[c] for c in g]
     out = T.StructType([*fields, T.StructField("ngram", T.ArrayType(T.StringType())), T.StructField("n", T.LongType()), T.StructField("n_records", T.LongType())])
