@@ -72,7 +72,7 @@ def _clean(columns: list[list]) -> bool:
 def shred(df: DataFrame, key: str, texts: list[str], roots: list[str] | None = None, fields: list[str] | None = None, embedded: bool = True) -> DataFrame:
     """The adjacency table of the JSON texts in the columns ``texts`` of each record.
 
-    Columns: ``key``; ``rec``, a hash of the texts, so that repeated deliveries of one record give the same nodes and
+    Columns: ``key``; ``rec``, a hash of the texts, so that repeated deliveries of one record give its nodes once and
     different records under one key stay apart; ``node`` and ``parent`` (numbers within the record; parent null at the
     top), ``label`` (the key above), ``ordinal`` (position within its array, else 0), ``kind`` and ``scalar`` (as
     text). ``roots``: shred only what lies below these labels. ``fields``: keep only scalars of these labels. With
@@ -84,6 +84,8 @@ def shred(df: DataFrame, key: str, texts: list[str], roots: list[str] | None = N
     """
     rec = fresh_name(df, "rec")
     narrow = df.select(F.col(key).alias("key"), F.xxhash64(*texts).alias(rec), *[F.col(t).alias(f"text{i}") for i, t in enumerate(texts)])
+    # copies of a record must not meet again in the joins below, where n of them would give n squared rows
+    narrow = narrow.dropDuplicates(["key", rec])
     key_type = df.schema[key].dataType
     roots_, fields_ = (None if x is None else frozenset(x) for x in (roots, fields))
 

@@ -33,8 +33,7 @@ def salt_column(key: str, salts: dict[str, int], source: Column) -> Column:
 def salted_aggregate(df: DataFrame, key: str, record: str, value: str | None = None, heavy_share: float = 0.01, null_salts: int = 64) -> DataFrame:
     """Count the records of each key, and count, sum and average their values, without a task that holds one hot key.
 
-    Stage one partitions by (key, salt), keeps one row of each (key, record) and aggregates per salt; stage two
-    merges the few partial rows of each key. The result has the columns ``key``, ``n`` (distinct records),
+    Copies of a record are merged first; stage one aggregates per (key, salt), stage two merges the few partial rows of each key. The result has the columns ``key``, ``n`` (distinct records),
     ``n_scored`` (those with a value), ``total`` (their sum) and ``mean`` (null where none has a value).
 
     Nulls: a null key is a group of its own (spread over ``null_salts``); rows with a null record count for
@@ -46,9 +45,8 @@ def salted_aggregate(df: DataFrame, key: str, record: str, value: str | None = N
     rows = df.where(F.col(record).isNotNull()).select(F.col(key).alias("key"), F.col(record).alias("record"), F.when(~F.isnan(scored), scored).alias("value"))
     salts = heavy_keys(rows, "key", heavy_share)
     salt = F.when(F.col("key").isNull(), F.pmod(F.xxhash64("record"), F.lit(null_salts).cast("long"))).otherwise(salt_column("key", salts, F.col("record")))
-    # hash(key, salt) also satisfies both groupings below, so this is the only shuffle of rows
-    spread = rows.withColumn("salt", salt).repartition("key", "salt")
-    once = spread.groupBy("key", "salt", "record").agg(F.max("value").alias("value"))
+    # all aggregations combine before they shuffle: copies of a record here, the records of a (key, salt) and the salts of a key below
+    once = rows.withColumn("salt", salt).groupBy("key", "salt", "record").agg(F.max("value").alias("value"))
     partial = once.groupBy("key", "salt").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("n_scored"), F.sum("value").alias("total"))
     merged = partial.groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_scored").alias("n_scored"), F.sum("total").alias("total"))
     return merged.select(F.col("key").alias(key), "n", "n_scored", "total", F.when(F.col("n_scored") > 0, F.col("total") / F.col("n_scored")).alias("mean"))
