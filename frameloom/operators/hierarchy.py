@@ -15,49 +15,57 @@ def clean_edges(edges: DataFrame, nodes: DataFrame, child: str, parent: str, nod
     return pairs.join(known.withColumnRenamed("id", "child"), "child", "left_semi").join(known.withColumnRenamed("id", "parent"), "parent", "left_semi").select("child", "parent")
 
 
-def ancestor_pairs(edges: DataFrame, with_paths: bool = False) -> DataFrame:
+def ancestor_pairs(edges: DataFrame) -> DataFrame:
     """All pairs (node, ancestor, distance) along clean (child, parent) edges, by joins of level frontiers.
 
     The frontier of a round is the set of pairs at distance exactly k, the reach all pairs at distances up to k;
     joining the frontier to the reach extends every pair by 1 to k further levels at once. So depth d takes
     log2(d) + 1 rounds instead of d, and each new pair is derived once per shortest path midpoint, not once per level.
     Pairs that come up again at a larger distance are repeats and are dropped: that ends cycles. Distance is the
-    shortest one (>= 1); a node on a cycle is an ancestor of itself. ``with_paths`` adds ``path``, the ids from node to
-    ancestor, the smallest one in order of ids among the shortest. The result is as large as the descendants it lists.
+    shortest one (>= 1); a node on a cycle is an ancestor of itself. The result is as large as the descendants it lists.
     """
-    path = [F.array("child", "parent").alias("path")] if with_paths else []
-    reach = cut(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance"), *path))
+    reach = cut(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance")))
     k = 1
     while True:
         frontier = reach.where(F.col("distance") == k).alias("f")
         onward = reach.alias("r")
-        grown = frontier.join(onward, F.col("f.ancestor") == F.col("r.node"))
-        distance = (F.col("f.distance") + F.col("r.distance")).alias("distance")
-        if with_paths:
-            joined = grown.select("f.node", "r.ancestor", distance, F.concat("f.path", F.slice("r.path", 2, 1 << 30)).alias("path"))
-            every = reach.unionByName(joined).groupBy("node", "ancestor").agg(F.min(F.struct("distance", "path")).alias("best"))
-            after = every.select("node", "ancestor", "best.distance", "best.path")
-        else:
-            after = reach.unionByName(grown.select("f.node", "r.ancestor", distance)).groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))
-        after = cut(after)
+        grown = frontier.join(onward, F.col("f.ancestor") == F.col("r.node")).select("f.node", "r.ancestor", (F.col("f.distance") + F.col("r.distance")).alias("distance"))
+        reach = cut(reach.unionByName(grown).groupBy("node", "ancestor").agg(F.min("distance").alias("distance")))
         k *= 2
-        reach = after
-        if not after.where(F.col("distance") == k).take(1):
-            return after
+        if not reach.where(F.col("distance") == k).take(1):
+            return reach
+
+
+def root_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """``roots`` (node, root, depth) with ``path``, the ids from node to root: of the shortest paths the smallest in order of ids.
+
+    The next node towards a root is the smallest parent one level nearer to it; stretches of path are then joined end to end, each
+    round doubling their length, so only pairs with roots ever carry a path."""
+    tops = roots.select("root").distinct().select(F.col("root").alias("parent"), "root", F.lit(0).alias("above"))
+    above = roots.select(F.col("node").alias("parent"), "root", F.col("depth").alias("above")).unionByName(tops)
+    steps = roots.join(edges.withColumnRenamed("child", "node"), "node").join(above, ["parent", "root"]).where("above = depth - 1")
+    state = cut(steps.groupBy("node", "root", "depth").agg(F.min("parent").alias("next")).select("node", "root", "depth", "next", F.array("node").alias("path")))
+    while state.where("next <> root").take(1):
+        ahead = state.select(F.col("node").alias("next"), "root", F.col("next").alias("then"), F.col("path").alias("more"))
+        joined = state.where("next <> root").join(ahead, ["next", "root"]).select("node", "root", "depth", F.col("then").alias("next"), F.concat("path", "more").alias("path"))
+        state = cut(state.where("next = root").unionByName(joined))
+    return state.select("node", "root", "depth", F.concat("path", F.array("root")).alias("path"))
 
 
 def hierarchy(nodes: DataFrame, edges: DataFrame, node: str, child: str, parent: str, with_paths: bool = False) -> dict[str, DataFrame]:
     """Full hierarchies of parent-child rows.
 
-    Returns ``pairs`` (node, ancestor, distance[, path]), ``roots`` (node, root, depth[, path]) with one row per root a
+    Returns ``pairs`` (node, ancestor, distance), ``roots`` (node, root, depth[, path]) with one row per root a
     node leads up to, and ``cycles`` (node, cycle) with the smallest id of the cycle a node lies on. A root is a node
     without parent; its own row in ``roots`` is not listed. Nodes that reach no root occur in no ``roots`` row. Null or unknown ends, repeated edges and repeated nodes
     change nothing; a self-loop is a cycle of one and keeps its node from being a root; empty tables give empty results.
     """
     kept = cut(clean_edges(edges, nodes, child, parent, node))
-    pairs = ancestor_pairs(kept, with_paths)
+    pairs = ancestor_pairs(kept)
     tops = kept.select(F.col("parent").alias("ancestor")).distinct().join(kept.select(F.col("child").alias("ancestor")).distinct(), "ancestor", "left_anti")
     roots = pairs.join(tops, "ancestor", "left_semi").withColumnsRenamed({"ancestor": "root", "distance": "depth"})
+    if with_paths:
+        roots = root_paths(kept, cut(roots))
     looped = pairs.where("node = ancestor").select("node")
     inner = pairs.join(looped, "node", "left_semi").join(looped.withColumnRenamed("node", "ancestor"), "ancestor", "left_semi").select("node", "ancestor")
     back = inner.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("node"))
