@@ -2,8 +2,9 @@
 
 Vectors are normalised and written as a sum of full-dimensional codewords, one of each residual codebook, found by beam
 search. The first codebook (two for very many vectors) also names the cell; every vector is looked for in the cells of its
-``CELLS`` best first words. Within a cell, scores come from lookup tables (query times codeword) and stored norms; the
-best ``RERANK`` are compared exactly.
+best first words. Within a cell, scores come from lookup tables (query times codeword) and stored norms; the best are
+compared exactly. How many cells are searched and how many scores compared is set for each file by the true neighbours of
+some of its vectors, so that a growing file with more cells loses no larger share.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ LEVELS, WORDS, BEAM, RERANK = 4, 256, 3, 24
 SAMPLE_ROWS, MOST_SAMPLE = 8192, 65536
 BLOCK_ROWS = 16384
 CHUNK = 512
+#: Calibration: vectors of a file compared with all others, the share of their neighbours that may be lost, and the least pairs to go by.
+ASKED, LOSS, LEAST_PAIRS = 512, 0.005, 100
 
 
 def _nearest(x: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -46,6 +49,8 @@ class Quantiser:
 
     def __init__(self, books: list[np.ndarray], coarse: int):
         self.books, self.coarse = books, coarse
+        self.cells = math.prod(len(b) for b in books[:coarse])
+        self.probes, self.width = CELLS, RERANK
         self.cell_load: dict[int, float] = {}
 
     @classmethod
@@ -59,26 +64,54 @@ class Quantiser:
             words = _kmeans(rest, k, rng).astype(np.float32)
             rest = rest - words[_nearest(rest, words)]
             books.append(words)
-        made = cls(books, len(sizes))
-        named, _, _ = made.encode(x)
+        return cls(books, len(sizes))
+
+    def calibrate(self, asked: np.ndarray, near: np.ndarray, x: np.ndarray, rows: int) -> None:
+        """Sets ``probes`` and ``width`` so that of the pairs (asked, near) hardly any is lost. ``x``: the sample that stands for ``rows``."""
+        pairs, factor = len(asked), rows / len(x)
+        most = min(self.cells, MOST_CELLS)  # pairs that share none of these count as sharing the last cell only
+        if pairs:
+            need = np.full(pairs, self.cells)
+            for i in range(0, pairs, 128):
+                for j, (a, b) in enumerate(zip(self._names(asked[i : i + 128], most), self._names(near[i : i + 128], most))):
+                    _, at, to = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+                    if len(at):
+                        need[i + j] = np.maximum(at, to).min() + 1
+            self.probes = max(CELLS, int(np.quantile(need, 1 - LOSS, method="higher")))
+        named, codes, norms = self.encode(x)
+        if pairs:
+            _, own, own_norms = self.encode(near)
+            before = np.zeros(pairs)
+            for i in range(0, pairs, 128):
+                q = asked[i : i + 128]
+                best = sum((q * words[own[i : i + 128, m]]).sum(1) for m, words in enumerate(self.books)) / own_norms[i : i + 128]
+                score = sum((q @ words.T)[:, codes[:, m]] for m, words in enumerate(self.books)) / norms
+                before[i : i + 128] = (score > best[:, None]).sum(1) * factor
+            self.width = RERANK + int(np.quantile(before, 1 - LOSS, method="higher"))
         ids, counts = np.unique(named[named >= 0], return_counts=True)
-        made.cell_load = {int(c): n / len(x) for c, n in zip(ids, counts)}
-        return made
+        self.cell_load = {int(c): n / len(x) for c, n in zip(ids, counts)}
+
+    def _names(self, x: np.ndarray, most: int) -> np.ndarray:
+        """The numbers of the ``most`` best cells, best first."""
+        if self.coarse == 1:
+            words = self.books[0]
+            return np.argsort(0.5 * (words * words).sum(1) - x @ words.T, axis=1, kind="stable")[:, :most]
+        return np.concatenate([self._encode(p, most)[0] for p in np.array_split(x, max(1, len(x) * most // 4096))])
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Cells (n x CELLS; -1: none), codes (n x books) and norms of the decoded vectors, by beam search."""
-        parts = [self._encode(p) for p in np.array_split(x, max(1, len(x) // 1024))]
+        """Cells (n x probes; -1: none), codes (n x books) and norms of the decoded vectors, by beam search."""
+        parts = [self._encode(p, self.probes) for p in np.array_split(x, max(1, len(x) * max(BEAM, self.probes) // 4096))]
         return tuple(np.concatenate(p) for p in zip(*parts))
 
-    def _encode(self, x: np.ndarray):
+    def _encode(self, x: np.ndarray, probes: int):
         n = len(x)
         rest, codes, error = x[:, None, :], np.zeros((n, 1, 0), np.int32), np.zeros((n, 1), np.float32)
-        cells = np.full((n, CELLS), -1, np.int64)
+        cells = np.full((n, probes), -1, np.int64)
         for level, words in enumerate(self.books):
             beam = rest.shape[1]
             grown = error[:, :, None] - 2 * (rest.reshape(n * beam, -1) @ words.T).reshape(n, beam, -1) + (words * words).sum(1)
             grown = grown.reshape(n, -1)
-            keep = min(BEAM, grown.shape[1])
+            keep = min(max(BEAM, probes) if level < self.coarse else BEAM, grown.shape[1])
             best = np.argpartition(grown, keep - 1, axis=1)[:, :keep]
             error = np.take_along_axis(grown, best, 1)
             order = np.argsort(error, axis=1, kind="stable")
@@ -87,23 +120,31 @@ class Quantiser:
             rest = np.take_along_axis(rest, parent[:, :, None], 1) - words[word]
             codes = np.concatenate([np.take_along_axis(codes, parent[:, :, None], 1), word[:, :, None].astype(np.int32)], 2)
             if level == self.coarse - 1:
-                width = min(CELLS, codes.shape[1])
+                width = min(probes, codes.shape[1])
                 number = reduce(lambda a, i: a * len(self.books[i]) + codes[:, :width, i], range(level + 1), np.zeros((n, width), np.int64))
                 cells[:, :width] = number
+                rest, codes, error = rest[:, :BEAM], codes[:, :BEAM], error[:, :BEAM]
         decoded = x - rest[:, 0]
         return cells, codes[:, 0], np.maximum(np.sqrt((decoded * decoded).sum(1)), 1e-6).astype(np.float32)
 
     def search(self, queries: np.ndarray, members: np.ndarray, codes: np.ndarray, norms: np.ndarray, same: bool, k: int):
         """Per query the indices and cosines of its ``k`` best members (index -1: none). ``same``: the queries are the members."""
-        n, width = len(members), min(RERANK + same, len(members))
+        n = len(members)
+        # where many must be compared exactly, scoring all of them exactly costs no more than the tables
+        tables = self.width * 8 < n
+        width = min((self.width if tables else RERANK) + same, n)
+        chunk = max(16, CHUNK * RERANK // width) if tables else CHUNK
+        columns = [np.unique(codes[:, m], return_inverse=True) for m in range(len(self.books))] if tables else []
         out_i, out_s = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), -2.0)
-        for a in range(0, len(queries), CHUNK):
-            q = queries[a : a + CHUNK]
-            score = np.zeros((len(q), n), np.float32)
-            for m, words in enumerate(self.books):
-                used, column = np.unique(codes[:, m], return_inverse=True)
-                score += (q @ words[used].T)[:, column]
-            score /= norms
+        for a in range(0, len(queries), chunk):
+            q = queries[a : a + chunk]
+            if tables:
+                score = np.zeros((len(q), n), np.float32)
+                for words, (used, column) in zip(self.books, columns):
+                    score += (q @ words[used].T)[:, column]
+                score /= norms
+            else:
+                score = q @ members.T
             if same:
                 score[np.arange(len(q)), np.arange(a, a + len(q))] = np.inf
             near = np.argpartition(-score, width - 1, axis=1)[:, :width] if width < n else np.broadcast_to(np.arange(n), (len(q), n))
@@ -137,8 +178,47 @@ def usable(vectors: DataFrame, files: DataFrame, key: str, file: str, vec: str,
     return rows.join(F.broadcast(sizes), "file").where(sound).select("id", "file", "vec", "dim")
 
 
-def fit_quantisers(rows: DataFrame) -> dict:
-    """One quantiser per file, fitted on at most 65,536 of its vectors, drawn by a hash of the id."""
+def _true_pairs(rows: DataFrame, asked: dict, k: int, least: float) -> pa.Table:
+    """(file, n, bits): the ``k`` nearest vectors of the n-th asked one among all of its file, copies of it left out."""
+    shared = rows.sparkSession.sparkContext.broadcast(asked)
+    kind = rows.schema["file"].dataType.simpleString()
+    file_type = rows.limit(0).select("file").toArrow().schema.field(0).type
+
+    def look(batches):
+        best: dict = {}
+        for batch in batches:
+            files_ = batch.column("file").to_numpy()
+            for f in np.unique(files_):
+                queries = shared.value.get(f.item())
+                if queries is None:
+                    continue
+                part = batch.filter(pa.array(files_ == f))
+                x = _unit(_matrix(part.column("vec"), part.column("dim")[0].as_py()))
+                score = queries @ x.T
+                score[score > 1 - 1e-6] = -2
+                score[score < least] = -2
+                width = min(k, len(x))
+                at = np.argpartition(-score, width - 1, axis=1)[:, :width]
+                top, vec = np.take_along_axis(score, at, 1), x[at]
+                if f.item() in best:
+                    top, vec = np.concatenate([best[f.item()][0], top], 1), np.concatenate([best[f.item()][1], vec], 1)
+                    at = np.argsort(-top, axis=1, kind="stable")[:, :k]
+                    top, vec = np.take_along_axis(top, at, 1), np.take_along_axis(vec, at[:, :, None], 1)
+                best[f.item()] = top, vec
+        for f, (top, vec) in best.items():
+            n, j = np.nonzero(top > -2)
+            if len(n):
+                arrays = [pa.array([f] * len(n), file_type), pa.array(n.astype(np.int32)), pa.array(top[n, j].astype(np.float64)), pa.array([v.tobytes() for v in vec[n, j]], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["file", "n", "cosine", "bits"])
+
+    found = rows.select("file", "dim", "vec").mapInArrow(look, f"file {kind}, n int, cosine double, bits binary")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("file", "n").orderBy(F.desc("cosine"), "bits")))
+    return ranked.where(F.col("rank") <= k).select("file", "n", "bits").toArrow()
+
+
+def fit_quantisers(rows: DataFrame, k: int = 5, least: float = -1.0) -> dict:
+    """One quantiser per file, fitted on at most 65,536 of its vectors, drawn by a hash of the id, and calibrated by the
+    ``k`` nearest (with a cosine of at least ``least``) of 512 of them among all vectors of the file."""
     counts = {r["file"]: r["n"] for r in rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return {}
@@ -146,11 +226,27 @@ def fit_quantisers(rows: DataFrame) -> dict:
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
     limit = F.create_map(*[F.lit(x) for f, n in counts.items() for x in (f, int(min(1.0, wanted[f] / n) * (1 << 20)) + 1)])
     sample = rows.where(draw < F.element_at(limit, F.col("file"))).select("file", "dim", "vec").toArrow()
-    made = {}
+    made, samples, asked = {}, {}, {}
     for f in sorted(counts):
         part = sample.filter(pa.compute.equal(sample["file"], f))
         if part.num_rows:
-            made[f] = Quantiser.fit(_unit(_matrix(part["vec"], part["dim"][0].as_py()))[: wanted[f]], counts[f])
+            samples[f] = _unit(_matrix(part["vec"], part["dim"][0].as_py()))[: wanted[f]]
+            made[f] = Quantiser.fit(samples[f], counts[f])
+            if made[f].cells > 1 or counts[f] > RERANK:
+                asked[f] = samples[f][np.random.default_rng(11).permutation(len(samples[f]))[:ASKED]]
+    pairs = _true_pairs(rows, asked, k, least) if asked else None
+    for f, q in made.items():
+        one = other = samples[f][:0]
+        if f in asked:
+            part = pairs.filter(pa.compute.equal(pairs["file"], f))
+            one = asked[f][part["n"].to_numpy()]
+            other = np.frombuffer(b"".join(part["bits"].to_pylist()), np.float32).reshape(len(one), -1) if len(one) else one
+            if len(one) < LEAST_PAIRS and least > 0:  # near pairs are rare: such at the least cosine stand in
+                aside = np.random.default_rng(13).normal(size=asked[f].shape)
+                aside -= (aside * asked[f]).sum(1, keepdims=True) * asked[f]
+                aside = _unit(aside) if aside.any(1).all() else asked[f]
+                one, other = np.concatenate([one, asked[f]]), np.concatenate([other, _unit(least * asked[f] + math.sqrt(max(0.0, 1 - least * least)) * aside)])
+        q.calibrate(one, other, samples[f], counts[f])
     return made
 
 
@@ -181,7 +277,7 @@ def most_similar(vectors: DataFrame, files: DataFrame, key: str, file: str, vec:
     """The ``k`` (at most 5) most similar vectors of the same file for every vector that fits its file's size.
 
     Columns: ``file``, ``id``, ``neighbour``, ``cosine``. Only neighbours with a cosine of at least ``least`` are given.
-    Approximate in which cells are searched (recall is tested to be over 0.9 for cosines of 0.8 or more), exact in the cosines.
+    Approximate in which cells are searched (calibrated on some vectors of each file to lose about 1 % of these neighbours), exact in the cosines.
 
     Vectors that are null, empty, all zero, not finite, hold nulls or have another length than their file's ``size`` take no part, nor do
     ones without key or file; of equal cosines the smaller key comes first. Exact copies are searched once and are each
@@ -189,7 +285,7 @@ def most_similar(vectors: DataFrame, files: DataFrame, key: str, file: str, vec:
     """
     rows = usable(vectors, files, key, file, vec, size)
     types = {c: rows.schema[c].dataType.simpleString() for c in ("id", "file")}
-    fitted = fit_quantisers(rows)
+    fitted = fit_quantisers(rows, k, least)
     counts = {f: q.cell_load for f, q in fitted.items()}
     total = {r["file"]: r["n"] for r in rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()} if any(max(c.values(), default=0) > 0.2 for c in counts.values()) else {}
     blocks = {(f, c): math.ceil(share * total[f] / BLOCK_ROWS) for f, loads in counts.items() for c, share in loads.items() if f in total and share * total[f] > BLOCK_ROWS}

@@ -44,3 +44,19 @@ def test_recall(spark):
     want = {(min(i, j), max(i, j)) for i, near in truth.items() for j, s in near if s >= 0.8}
     got = {tuple(r) for r in p2_found(spark, SF).collect()}
     assert len(got & want) / len(want) >= 0.97 and len(got & want) / len(got) >= 0.99
+
+
+def test_recall_with_many_cells(spark):
+    """Neighbours of all cosines in a file of many cells, where a fixed number of searched cells loses most of them."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(8000, 20)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "id long, file int, vec array<float>")
+    got = {}
+    for r in most_similar(vectors, spark.createDataFrame([(1, 20)], "file int, dim int"), "id", "file", "vec", "dim").collect():
+        got.setdefault(r["id"], set()).add(r["neighbour"])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    some = rng.choice(len(x), 400, replace=False)
+    cosines = unit[some] @ unit.T
+    cosines[np.arange(400), some] = -2
+    want = np.argsort(-cosines, axis=1)[:, :5]
+    assert sum(j in got[i] for i, near in zip(some, want) for j in near) / want.size >= 0.97
