@@ -35,6 +35,7 @@ _ENDS = re.compile(r"[.?!][\"”»)\]]*$")
 _POLISH = "".join(LETTERS["pl"]) + LETTERS["pl"].upper() + "„”–—…"
 _SUSPECT = re.compile(f"[^\x00-\x7f{_POLISH}]")
 _ODD = re.compile("[^\x00-\x7f" + "".join(map(re.escape, sorted(CLEAN))) + "]")
+_FOREIGN = {lang: re.compile(f"[^\x00-\x7f{x}{x.upper()}{SIGNS}]") for lang, x in LETTERS.items()}
 _CONTROL = re.compile(r"[^\W\d_][\x80-\x9f]|[\x80-\x9f][^\W\d_]")
 _REPLACED = re.compile(r"[^\W_]�|�[^\W_]")
 
@@ -205,11 +206,22 @@ def _invert_words(words: list[str], chain: tuple[str, str, int]) -> list[str] |
     return out if changed else None
 
 
-def _foreign(before: list[str], after: list[str], lang: str) -> bool:
-    """Whether only characters foreign to the language (and to Polish, whose words all texts cite) were restored, and none is left."""
-    usual = set(LETTERS[lang] + LETTERS["pl"] + SIGNS)
-    strange = lambda w: any(not c.isascii() and c.lower() not in usual for c in w)
-    return not any(strange(w) for w in after) and any(a != b and strange(a) for a, b in zip(before, after))
+def _foreign(before: list[str], after: list[str], lang: str, own: str, model: ChainModel) -> bool:
+    """Whether words with characters foreign to the language were restored, and no such character is left in them.
+
+    Polish letters are foreign to other languages too, but all texts cite Polish words: where only these change, the changed
+    words must be likelier by themselves, each in its likeliest language, Polish included, and ``lang`` the text's ``own``."""
+    usual = set(LETTERS[lang] + SIGNS)
+    strange = lambda w, known: any(not c.isascii() and c.lower() not in known for c in w)
+    changed = [(a, b) for a, b in zip(before, after) if a != b]
+    cited = usual | set(LETTERS["pl"])
+    if any(strange(b, cited) for _, b in changed):
+        return False
+    if any(strange(a, cited) for a, _ in changed):
+        return True
+    if lang != own or any(strange(b, usual) for _, b in changed) or not any(strange(a, usual) for a, _ in changed):
+        return False
+    return sum(model.clean_score(b)[0] - model.clean_score(a)[0] for a, b in dict.fromkeys(changed)) >= LEAST_GAIN
 
 
 def _broken_leads(words: list[str], codec: str) -> bool:
@@ -218,9 +230,16 @@ def _broken_leads(words: list[str], codec: str) -> bool:
     return any(b in leads and a.islower() and (a.isascii() or a not in leads) and b.isupper() for w in words for a, b in zip(w, w[1:]))
 
 
-def examine(text: str, model: ChainModel) -> tuple[str | None, bool, str] | None:
-    """(chain, restorable, restored text) of a garbled text, else None. ``chain`` names all that were found."""
-    if not _SUSPECT.search(text):
+def examine(text: str, model: ChainModel, lang: str | None = None) -> tuple[str | None, bool, str] | None:
+    """(chain, restorable, restored text) of a garbled text, else None. ``chain`` names all that were found.
+
+    Polish letters are above suspicion only in a text of which ``lang``, or where that is unknown the model, says that it is Polish."""
+    if text.isascii():
+        return None
+    if lang not in LETTERS:
+        lang = model.clean_score(text)[1]
+    suspect = _SUSPECT if lang == "pl" else _FOREIGN[lang]
+    if not suspect.search(text):
         return None
     tokens = _BLANK.split(text)
     named: list[str] = []
@@ -230,7 +249,7 @@ def examine(text: str, model: ChainModel) -> tuple[str | None, bool, str] | None
     for a, b in windows(tokens):
         words = tokens[a:b:2]
         whole = " ".join(words)
-        if not _SUSPECT.search(whole):
+        if not suspect.search(whole):
             continue
         if "�" in whole and _REPLACED.search(whole):
             lost = True
@@ -238,7 +257,7 @@ def examine(text: str, model: ChainModel) -> tuple[str | None, bool, str] | None
             continue
         odd = _ODD.search(whole)
         tried = model.order(" ".join(w for w in words if not w.isascii()) if len(words) > 8 else whole)
-        if tried[0] < 0 and not odd:
+        if tried[0] < 0 and not odd and lang == "pl":
             continue
         top = model.chains[tried[0]] if tried[0] >= 0 else None
         broken = top is not None and top[0] == "utf-8" and _broken_leads(words, top[1])
@@ -252,8 +271,8 @@ def examine(text: str, model: ChainModel) -> tuple[str | None, bool, str] | None
             back = _invert_words(words, chain)
             if back is None:
                 continue
-            after, lang = model.clean_score(" ".join(back))
-            if after - before >= LEAST_GAIN and (chain[0] == "utf-8" or _foreign(words, back, lang)):
+            after, likely = model.clean_score(" ".join(back))
+            if after - before >= LEAST_GAIN and (chain[0] == "utf-8" or _foreign(words, back, likely, lang, model)):
                 fits[chain] = after - before, back
         if fits:
             options.append((a, b, fits))
@@ -298,13 +317,13 @@ def find_garbled(df: DataFrame, key: str, text: str, lang: str, sample_docs: int
     def run(batches):
         for batch in batches:
             out = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if t and not t.isascii() and (x := examine(t, model.value)):
+            for k, t, own in zip(*[c.to_pylist() for c in batch.columns]):
+                if t and not t.isascii() and (x := examine(t, model.value, own)):
                     out.append((k, *x))
             if out:
                 kinds = [batch.schema.field(0).type, pa.string(), pa.bool_(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["key", "chain", "restorable", "restored"])
 
     kind = df.schema[key].dataType.simpleString()
-    found = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, chain string, restorable boolean, restored string")
+    found = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).mapInArrow(run, f"key {kind}, chain string, restorable boolean, restored string")
     return found.withColumnRenamed("key", key)

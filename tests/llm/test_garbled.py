@@ -59,3 +59,17 @@ def test_find_garbled_table(spark, clean):
     assert sorted([r["doc_id"] for r in out if r["doc_id"] is None or r["doc_id"] >= 1000], key=str) == [1000, 1000, 1003, None]
     assert all(r["restorable"] and r["restored"].startswith("Zwykła łódź śledzi żółtą gęś.") for r in out if r["doc_id"] in (1000, 1003))
     assert G.find_garbled(df.limit(0), "doc_id", "text", "lang").count() == 0
+
+
+def test_only_polish_letters_result(clean):
+    """Spanish and French read as cp1250 often hold no odd letter but Polish ones; fine texts that cite Polish words stay."""
+    model = G.ChainModel.train(clean[::2])
+    text = "¿Qué año nuevo empieza mañana en España?"
+    for read in ("cp1250", "iso8859-2"):
+        seen = G.garble(text, ("cp1252", read, 1))
+        assert not G._ODD.search(seen) and G.examine(seen, model, "es")[2] == text and G.examine(seen, model)[2] == text
+        held = [(t, G.garble(t, ("cp1252", read, 1)), lang) for lang, t in clean[1::2] if lang in ("es", "fr")]
+        held = [(t, seen, lang) for t, seen, lang in held if seen not in (None, t)]
+        assert len(held) >= 6 and sum(G.examine(seen, model, lang) is not None for _, seen, lang in held) >= 0.95 * len(held)
+    for fine, lang in (("El koń y la łódź son palabras polacas.", "es"), ("Le mot łódź et le mot gęś sont polonais.", "fr"), ("The word “gęś” is Polish — like “koń”.", "en")):
+        assert G.examine(fine, model, lang) is None, fine
