@@ -188,22 +188,28 @@ def _plausible(before: str, after: str) -> bool:
 
 
 def _invert_words(words: list[str], chain: tuple[str, str, int]) -> list[str] | None:
-    """The words with those inverted that the chain explains; None where it explains none or leaves an odd one."""
-    out, changed = [], 0
+    """The words with those inverted that the chain explains; None where it explains none.
+
+    Odd words that a one-byte chain can't explain stay as they are: odd signs, and characters that its encoding doesn't have, stand
+    in fine text. Then a sign that becomes the last letter of a word (``m³``) proves nothing. An odd letter that it has speaks against the chain."""
+    out, changed, left, proved = [], 0, False, False
     for w in words:
         back = None if w.isascii() or not _SUSPECT.search(w) and chain[0] == "utf-8" else restore(w, chain)
         if back is not None and back != w and not any(ord(c) < 32 or 127 <= ord(c) < 160 for c in back):
             if chain[0] == "utf-8" or not _ODD.search(back) and _plausible(w, back):
                 out.append(back)
                 changed += 1
+                proved = proved or any(a != b and b.isalpha() and (a.isalpha() or w[i + 1 : i + 2].isalpha()) for i, (a, b) in enumerate(zip(w, back)))
                 continue
             if not any(c.isalnum() for c in back) and not _ODD.search(back):  # a sign by itself goes along, but proves nothing
                 out.append(back)
                 continue
         if chain[0] != "utf-8" and _ODD.search(w):
-            return None
+            if any(c.isalpha() and _ODD.match(c) and unread(c, chain[1]) is not None for c in w):
+                return None
+            left = True
         out.append(w)
-    return out if changed else None
+    return out if changed and (proved or not left) else None
 
 
 def _foreign(before: list[str], after: list[str], lang: str, own: str, model: ChainModel) -> bool:
@@ -266,13 +272,14 @@ def examine(text: str, model: ChainModel, lang: str | None = None) -> tuple[str
         before, _ = model.clean_score(whole)
         for rank, c in enumerate(x for x in tried if x >= 0):
             chain = model.chains[c]
-            if rank >= TRIED_CHAINS and (fits or not odd or (chain[0] != "utf-8" and not torn)) or (broken and chain[0] != "utf-8"):
+            if rank >= TRIED_CHAINS and (fits or not odd) or (broken and chain[0] != "utf-8"):
                 continue
             back = _invert_words(words, chain)
             if back is None:
                 continue
             after, likely = model.clean_score(" ".join(back))
-            if after - before >= LEAST_GAIN and (chain[0] == "utf-8" or _foreign(words, back, likely, lang, model)):
+            # of chains that are unlikely by themselves only those count that lead to the text's own language
+            if after - before >= LEAST_GAIN and (chain[0] == "utf-8" or (rank < TRIED_CHAINS or likely == lang) and _foreign(words, back, likely, lang, model)):
                 fits[chain] = after - before, back
         if fits:
             options.append((a, b, fits))

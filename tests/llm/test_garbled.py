@@ -73,3 +73,23 @@ def test_only_polish_letters_result(clean):
         assert len(held) >= 6 and sum(G.examine(seen, model, lang) is not None for _, seen, lang in held) >= 0.95 * len(held)
     for fine, lang in (("El koń y la łódź son palabras polacas.", "es"), ("Le mot łódź et le mot gęś sont polonais.", "fr"), ("The word “gęś” is Polish — like “koń”.", "en")):
         assert G.examine(fine, model, lang) is None, fine
+
+
+def test_unexplained_words_beside_garbled_ones(clean):
+    model = G.ChainModel.train(clean)
+    text = "Zwykła droga śledzi żółtą łódź, a gęś łowi rybę."
+    for chain in (("cp1250", "cp1252", 1), ("iso8859-2", "latin-1", 1), ("cp852", "cp1250", 1)):
+        for extra in ("Pole 5 km² ", "Około ½ roku ", "Napis дом "):
+            assert G.examine(extra + G.garble(text, chain), model, "pl")[1:] == (True, extra + text), (chain, extra)
+    assert G.examine("Podano w m³, cm³, dm³ i km².", model, "pl") is None
+
+
+def test_chains_of_low_rank(clean):
+    """A chain that the model ranks ninth or later is tried when no other fits."""
+    model = G.ChainModel.train(clean)
+    text = "Zwykła droga śledzi żółtą łódź, a gęś łowi rybę."
+    chain = ("cp1250", "cp1252", 1)
+    number = model.chains.index(chain)
+    likely = model.order
+    model.order = lambda seen: [c for c in likely(seen) if c < 0 or model.chains[c][0] == "utf-8"][:12] + [number]
+    assert G.examine(G.garble(text, chain), model, "pl")[1:] == (True, text)
