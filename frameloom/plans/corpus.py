@@ -580,15 +580,17 @@ def o124_selectional_association(spark, d):
 # --- annotation and models, which SQL can't express --------------------------------------------------------------
 
 
-def _sie_verbs() -> frozenset:
-    return frozenset(("bać", "śmiać", "stać", "znać", "uczyć", "zacząć"))
+def _sie_verbs(spark, d) -> frozenset:
+    """Lemmas that the valency dictionary has with ``się`` (a dictionary's headwords: thousands, however large the corpus)."""
+    lemma = F.regexp_extract(tidy("predicate"), r"(?U)^(.+?)\s+się$", 1).alias("lemma")
+    return frozenset(r[0] for r in table(spark, d, "frames").select(lemma).distinct().collect() if r[0])
 
 
 @query()
 def o99_attachment_ablation(spark, d):
     """Accuracy of every ensemble of rules and both baselines against the corpus's attachments (O-91 to O-100)."""
     s = A.with_dictionary(A.nested_sentences(_tokens(spark, d)), _frames(spark, d))
-    x = A.attach_arguments(s, [*E.ENSEMBLES, "nearest", "nearest_argument"], _sie_verbs(), heads=False)
+    x = A.attach_arguments(s, [*E.ENSEMBLES, "nearest", "nearest_argument"], _sie_verbs(spark, d), heads=False)
     return x.groupBy("rules").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("predicate_no") == F.col("gold")).alias("correct")).withColumn("accuracy", F.round(F.col("correct") / F.col("n"), 6))
 
 
@@ -596,14 +598,14 @@ def o99_attachment_ablation(spark, d):
 def o101_attached_arguments(spark, d):
     """Predicate and semantic head of every argument by the production rules."""
     s = A.with_dictionary(A.nested_sentences(_tokens(spark, d)), _frames(spark, d))
-    return A.attach_arguments(s, ["production"], _sie_verbs()).drop("rules", "gold")
+    return A.attach_arguments(s, ["production"], _sie_verbs(spark, d)).drop("rules", "gold")
 
 
 @query()
 def o104_extracted_arguments(spark, d):
     """Arguments labelled by a CRF, attached and headed, over all sentences."""
-    s = A.nested_sentences(_tokens(spark, d))
-    return A.extract_arguments(s, A.train_labeller(s, most_sentences=120, rounds=4), sie_verbs=_sie_verbs())
+    s = A.with_dictionary(A.nested_sentences(_tokens(spark, d)), _frames(spark, d))
+    return A.extract_arguments(s, A.train_labeller(s), sie_verbs=_sie_verbs(spark, d))
 
 
 def _occurrence_rows(spark, d):
