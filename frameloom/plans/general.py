@@ -141,8 +141,17 @@ def p5_hyponyms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_paths(spark: SparkSession, d: str) -> DataFrame:
-    """For every synset and each root it leads up to: the depth below the root and the full path from the root."""
-    return _synset_hierarchy(spark, d, True)["roots"].select(F.col("node").alias("synset_id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), F.array_join(F.reverse("path"), "/").alias("path"))
+    """For every synset and each root it leads up to: the depth below the root and the smallest shortest path from the root.
+
+    A synset without hypernym is its own root at depth 0. One that leads only into a cycle has one row without root, depth and path."""
+    h = _synset_hierarchy(spark, d, True)
+    below = h["roots"].select(F.col("node").alias("synset_id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), F.array_join(F.reverse("path"), "/").alias("path"))
+    known = table(spark, d, "synsets").select("synset_id").where("synset_id is not null").distinct()
+    rest = known.join(below.select("synset_id").distinct(), "synset_id", "left_anti")
+    led = h["pairs"].select(F.col("node").alias("synset_id"), F.lit(True).alias("led")).distinct()
+    top = F.col("led").isNull()
+    alone = rest.join(led, "synset_id", "left").select("synset_id", F.when(top, F.col("synset_id")).alias("root_id"), F.when(top, 0).alias("depth"), F.when(top, F.col("synset_id").cast("string")).alias("path"))
+    return below.unionByName(alone)
 
 
 _P5_EDGES = """
