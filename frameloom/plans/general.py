@@ -45,14 +45,14 @@ def _chunks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def p1_words(spark: SparkSession, d: str) -> DataFrame:
     """One row per word of a sentence, with its position."""
-    nodes = shred(_sentences(spark, d, ["words"]), "sent_id", ["nested"], roots=["words"])
+    nodes = shred(_sentences(spark, d, ["words"]), "sent_id", ["nested"], roots=["words"], embedded=False)
     words = entities(nodes, ["orth", "base", "ctag", "nps"], ["words"])
     return words.select(F.col("key").alias("sent_id"), F.col("ordinal").alias("word_no"), "orth", "base", "ctag", F.col("nps").cast("boolean").alias("nps")).distinct()
 
 
 def p1_arguments(spark: SparkSession, d: str) -> DataFrame:
     """One row per argument, with its predicate's span."""
-    nodes = cut(shred(_sentences(spark, d, ["argument_structures"]), "sent_id", ["nested"], roots=["argument_structures"]))
+    nodes = cut(shred(_sentences(spark, d, ["argument_structures"]), "sent_id", ["nested"], roots=["argument_structures"], embedded=False))
     rows = _arguments(nodes, "argument_structures")
     return rows.select(F.col("key").alias("sent_id"), "pred_left", "pred_right", "left_ix", "right_ix", "argument_type", F.col("syntactic_head").cast("int").alias("syntactic_head"), F.col("semantic_head").cast("int").alias("semantic_head")).distinct()
 
@@ -68,7 +68,7 @@ def p1_chunk_words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    nodes = cut(shred(_sentences(spark, d, ["words", "argument_structures"]), "sent_id", ["nested"], roots=["words", "argument_structures"], fields=["left_ix", "right_ix", "argument_type"]))
+    nodes = cut(shred(_sentences(spark, d, ["words", "argument_structures"]), "sent_id", ["nested"], roots=["words", "argument_structures"], fields=["left_ix", "right_ix", "argument_type"], embedded=False))
     out = lambda df, kind, parent, child: df.select(F.col("key").alias("sent_id"), F.lit(kind).alias("kind"), parent.alias("parent_key"), child.alias("child_key"))
     words = out(nodes.where("label = 'words' and kind = 'object'"), "word", F.lit(""), F.col("ordinal").cast("string"))
     spans = _arguments(nodes, "argument_structures").where("pred_left is not null and pred_right is not null and left_ix is not null and right_ix is not null")
