@@ -52,6 +52,7 @@ class Quantiser:
         self.cells = math.prod(len(b) for b in books[:coarse])
         self.probes, self.width = CELLS, RERANK
         self.cell_load: dict[int, float] = {}
+        self.rows = 0
 
     @classmethod
     def fit(cls, x: np.ndarray, rows: int, seed: int = 7) -> Quantiser:
@@ -69,6 +70,7 @@ class Quantiser:
     def calibrate(self, asked: np.ndarray, near: np.ndarray, x: np.ndarray, rows: int) -> None:
         """Sets ``probes`` and ``width`` so that of the pairs (asked, near) hardly any is lost. ``x``: the sample that stands for ``rows``."""
         pairs, factor = len(asked), rows / len(x)
+        self.rows = rows
         most = min(self.cells, MOST_CELLS)  # pairs that share none of these count as sharing the last cell only
         if pairs:
             need = np.full(pairs, self.cells)
@@ -91,6 +93,10 @@ class Quantiser:
         ids, counts = np.unique(named[named >= 0], return_counts=True)
         self.cell_load = {int(c): n / len(x) for c, n in zip(ids, counts)}
 
+    def blocks(self) -> dict[int, int]:
+        """The number of blocks of every cell that is expected to hold more than ``BLOCK_ROWS`` vectors."""
+        return {c: math.ceil(share * self.rows / BLOCK_ROWS) for c, share in self.cell_load.items() if share * self.rows > BLOCK_ROWS}
+
     def _names(self, x: np.ndarray, most: int) -> np.ndarray:
         """The numbers of the ``most`` best cells, best first."""
         if self.coarse == 1:
@@ -286,9 +292,7 @@ def most_similar(vectors: DataFrame, files: DataFrame, key: str, file: str, vec:
     rows = usable(vectors, files, key, file, vec, size)
     types = {c: rows.schema[c].dataType.simpleString() for c in ("id", "file")}
     fitted = fit_quantisers(rows, k, least)
-    counts = {f: q.cell_load for f, q in fitted.items()}
-    total = {r["file"]: r["n"] for r in rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()} if any(max(c.values(), default=0) > 0.2 for c in counts.values()) else {}
-    blocks = {(f, c): math.ceil(share * total[f] / BLOCK_ROWS) for f, loads in counts.items() for c, share in loads.items() if f in total and share * total[f] > BLOCK_ROWS}
+    blocks = {(f, c): n for f, q in fitted.items() for c, n in q.blocks().items()}
     models = rows.sparkSession.sparkContext.broadcast((fitted, blocks))
 
     def route(batches):

@@ -3,7 +3,7 @@
 import numpy as np
 
 from frameloom.llm.queries import p2_found
-from frameloom.llm.similar import most_similar
+from frameloom.llm.similar import BLOCK_ROWS, Quantiser, most_similar
 
 SF = "/root/testdata/sf0.01"
 
@@ -60,3 +60,10 @@ def test_recall_with_many_cells(spark):
     cosines[np.arange(400), some] = -2
     want = np.argsort(-cosines, axis=1)[:, :5]
     assert sum(j in got[i] for i, near in zip(some, want) for j in near) / want.size >= 0.97
+
+
+def test_every_large_cell_is_split():
+    q = Quantiser([np.eye(8, dtype=np.float32)], 1)
+    x = np.repeat(np.eye(8, dtype=np.float32), 50, axis=0)
+    q.calibrate(x[:0], x[:0], x, 4_000_000)
+    assert len(q.blocks()) == 8 and all(n >= 4_000_000 / 8 / BLOCK_ROWS for n in q.blocks().values())
