@@ -6,87 +6,101 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.operators.hierarchy import hierarchy
-from frameloom.operators.shred import children, entities, shred
+from frameloom.operators.shred import children, entities, shred, shred_columns
 from frameloom.operators.skew import keys_with_share, salted_aggregate
 from frameloom.runtime import cut, table, tidy
 
 
-def _sentences(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
-    """Sentences with their nested columns as one JSON text, nulls kept."""
-    return table(spark, d, "sentences").select("sent_id", "ccl", F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("nested"))
-
-
 def _key(left: str, right: str):
     return F.concat_ws("-", left, right)
 
 
-def _linked(df: DataFrame, other: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """Join on (key, rec, ``on``); keys compare null-safe."""
+def _linked(df: DataFrame, other: DataFrame, on: str) -> DataFrame:
+    """Left join on (key, rec, ``on``); keys compare null-safe. ``other`` has one row for each."""
     k, r, n = (c + "__" for c in ("key", "rec", on))
     other = other.withColumnsRenamed({"key": k, "rec": r, on: n})
-    return df.join(other, F.col("key").eqNullSafe(F.col(k)) & (F.col("rec") == F.col(r)) & (F.col(on) == F.col(n)), how).drop(k, r, n)
+    return df.join(other, F.col("key").eqNullSafe(F.col(k)) & (F.col("rec") == F.col(r)) & (F.col(on) == F.col(n)), "left").drop(k, r, n)
 
 
-def _arguments(nodes: DataFrame, structure: str) -> DataFrame:
+def _arguments(spark: SparkSession, d: str, *fields: str) -> DataFrame:
     """Argument rows with the span of their predicate; either span is null where it is not given."""
-    spans = entities(nodes, ["left_ix", "right_ix"], ["pred", "span"])
-    pred = spans.where("label = 'pred'").select("key", "rec", F.col("parent").alias("entry"), F.col("left_ix").cast("int").alias("pred_left"), F.col("right_ix").cast("int").alias("pred_right"))
-    span = spans.where("label = 'span'").select("key", "rec", F.col("parent").alias("node"), F.col("left_ix").cast("int").alias("left_ix"), F.col("right_ix").cast("int").alias("right_ix"))
-    args = entities(nodes, ["argument_type", "syntactic_head", "semantic_head"], ["args"]).withColumnRenamed("parent", "entry")
-    tops = nodes.where(F.col("label").eqNullSafe(structure) & (F.col("kind") == "object")).select("key", "rec", F.col("node").alias("entry"))
-    return _linked(_linked(_linked(args, tops, "entry"), pred, "entry", "left"), span, "node", "left")
+    nodes = shred_columns(table(spark, d, "sentences"), "sent_id", ["argument_structures"], ["left_ix", "right_ix", *fields])
+    every = cut(entities(nodes, ["left_ix", "right_ix", *fields], ["pred", "span", "args"]))
+    number = lambda label, parent, left, right: every.where(F.col("label") == label).select("key", "rec", F.col("parent").alias(parent), F.col("left_ix").cast("int").alias(left), F.col("right_ix").cast("int").alias(right))
+    args = every.where("label = 'args'").select("key", "rec", "node", F.col("parent").alias("entry"), *fields)
+    return _linked(_linked(args, number("span", "node", "left_ix", "right_ix"), "node"), number("pred", "entry", "pred_left", "pred_right"), "entry")
 
 
-def _chunks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    nodes = cut(shred(table(spark, d, "sentences"), "sent_id", ["ccl"], roots=["chunks"], fields=["number", "chunkType", "head", "words"]))
-    chunks = entities(nodes, ["number", "chunkType", "head"], needed="number").withColumn("chunk_type", F.coalesce("chunkType", "label"))
-    return chunks, children(chunks, nodes, "words", ["chunk_type", "number"], "word_index")
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    nodes = shred(table(spark, d, "sentences"), "sent_id", ["ccl"], roots=["chunks"], fields=["number", "chunkType", "head", "words"])
+    return entities(nodes, ["number", "chunkType", "head"], needed="number", lists=("words",)).withColumn("chunk_type", F.coalesce("chunkType", "label"))
 
 
 def p1_words(spark: SparkSession, d: str) -> DataFrame:
     """One row per word of a sentence, with its position."""
-    nodes = shred(_sentences(spark, d, ["words"]), "sent_id", ["nested"], roots=["words"], embedded=False)
-    words = entities(nodes, ["orth", "base", "ctag", "nps"], ["words"])
+    words = entities(shred_columns(table(spark, d, "sentences"), "sent_id", ["words"]), ["orth", "base", "ctag", "nps"], ["words"])
     return words.select(F.col("key").alias("sent_id"), F.col("ordinal").alias("word_no"), "orth", "base", "ctag", F.col("nps").cast("boolean").alias("nps")).distinct()
 
 
 def p1_arguments(spark: SparkSession, d: str) -> DataFrame:
     """One row per argument, with its predicate's span."""
-    nodes = cut(shred(_sentences(spark, d, ["argument_structures"]), "sent_id", ["nested"], roots=["argument_structures"], embedded=False))
-    rows = _arguments(nodes, "argument_structures")
+    rows = _arguments(spark, d, "argument_type", "syntactic_head", "semantic_head")
     return rows.select(F.col("key").alias("sent_id"), "pred_left", "pred_right", "left_ix", "right_ix", "argument_type", F.col("syntactic_head").cast("int").alias("syntactic_head"), F.col("semantic_head").cast("int").alias("semantic_head")).distinct()
 
 
 def p1_chunks(spark: SparkSession, d: str) -> DataFrame:
-    chunks, _ = _chunks(spark, d)
-    return chunks.select(F.col("key").alias("sent_id"), "chunk_type", "number", F.col("head").cast("int").alias("head")).distinct()
+    """One row per chunk object that has a number, with its type."""
+    return _chunks(spark, d).select(F.col("key").alias("sent_id"), "chunk_type", "number", F.col("head").cast("int").alias("head")).distinct()
 
 
 def p1_chunk_words(spark: SparkSession, d: str) -> DataFrame:
-    _, words = _chunks(spark, d)
-    return words.select(F.col("key").alias("sent_id"), "chunk_type", "number", "word_index").distinct()
+    """One row per word index of a chunk."""
+    return children(_chunks(spark, d), "words", ["chunk_type", "number"], "word_index").select(F.col("key").alias("sent_id"), "chunk_type", "number", "word_index").distinct()
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    nodes = cut(shred(_sentences(spark, d, ["words", "argument_structures"]), "sent_id", ["nested"], roots=["words", "argument_structures"], fields=["left_ix", "right_ix", "argument_type"], embedded=False))
-    out = lambda df, kind, parent, child: df.select(F.col("key").alias("sent_id"), F.lit(kind).alias("kind"), parent.alias("parent_key"), child.alias("child_key"))
-    words = out(nodes.where("label = 'words' and kind = 'object'"), "word", F.lit(""), F.col("ordinal").cast("string"))
-    spans = _arguments(nodes, "argument_structures").where("pred_left is not null and pred_right is not null and left_ix is not null and right_ix is not null")
-    chunks, inside = _chunks(spark, d)
-    return (
-        words.unionByName(out(spans, "argument", _key("pred_left", "pred_right"), _key("left_ix", "right_ix")))
-        .unionByName(out(chunks, "chunk", F.col("chunk_type"), F.col("number")))
-        .unionByName(out(inside, "chunk_word", F.concat_ws(":", "chunk_type", "number"), F.col("word_index")))
-        .distinct()
-    )
-
-
+    row = lambda kind, parent, child: F.struct(F.lit(kind).alias("kind"), parent.alias("parent_key"), child.alias("child_key"))
+    objects = shred_columns(table(spark, d, "sentences"), "sent_id", ["words"], []).where("kind = 'object'")
+    words = objects.select(F.col("key").alias("sent_id"), row("word", F.lit(""), F.col("ordinal").cast("string")).alias("x")).select("sent_id", "x.*")
+    spans = _arguments(spark, d).where("pred_left is not null and pred_right is not null and left_ix is not null and right_ix is not null")
+    arguments = spans.select(F.col("key").alias("sent_id"), row("argument", _key("pred_left", "pred_right"), _key("left_ix", "right_ix")).alias("x")).select("sent_id", "x.*")
+    inside = F.transform("words", lambda w: row("chunk_word", F.concat_ws(":", "chunk_type", "number"), w["scalar"]))
+    chunks = _chunks(spark, d).select(F.col("key").alias("sent_id"), F.inline(F.concat(F.array(row("chunk", F.col("chunk_type"), F.col("number"))), inside)))
+    return words.unionByName(arguments).unionByName(chunks).distinct()
+
+
+# the trees of the texts, and of those strings at or below ``chunks`` that hold JSON themselves; ``above`` is the nearest key of a node that is a name
+_P1_CHUNKS = """
+    txt as (select distinct sent_id, ccl from sentences where json_valid(ccl)),
+    one as (select sent_id, ccl, '' as place, t.id, t.parent, t.key, t.type, t.value, t.fullkey, t.value ->> '$' as scalar from txt, json_tree(ccl) t where regexp_matches(t.fullkey, '\\.chunks([.\\[]|$)')),
+    held as (select sent_id, ccl, fullkey, scalar from one where type = 'VARCHAR' and regexp_matches(scalar, '^\\s*[{\\[]') and json_valid(scalar)),
+    two as (select sent_id, ccl, h.fullkey as place, t.id, t.parent, t.key, t.type, t.value, h.fullkey || substr(t.fullkey, 2) as fullkey, t.value ->> '$' as scalar from held h, json_tree(h.scalar) t),
+    nod as (select *, trim(regexp_extract(fullkey, '\\.("[^"]*"|[^."\\[\\]]+)(\\[\\d+\\])*$', 1), '"') as above from (select * from one union all select * from two)),
+    sca as (select * from nod where type not in ('OBJECT', 'ARRAY', 'NULL')),
+    chu as (select o.sent_id, o.ccl, o.place, o.id, coalesce(k.scalar, o.above) as chunk_type, n.scalar as number, h.scalar::int as head from nod o
+            join sca n on (n.sent_id, n.ccl, n.place, n.parent, n.key) = (o.sent_id, o.ccl, o.place, o.id, 'number')
+            left join sca k on (k.sent_id, k.ccl, k.place, k.parent, k.key) = (o.sent_id, o.ccl, o.place, o.id, 'chunkType')
+            left join sca h on (h.sent_id, h.ccl, h.place, h.parent, h.key) = (o.sent_id, o.ccl, o.place, o.id, 'head') where o.type = 'OBJECT'),
+    cwo as (select c.sent_id, c.chunk_type, c.number, w.scalar as word_index from chu c
+            join (select a.sent_id, a.ccl, a.place, a.parent as owner, coalesce(e.scalar, s.scalar) as scalar from nod a
+                  left join sca e on a.type = 'ARRAY' and (e.sent_id, e.ccl, e.place, e.parent) = (a.sent_id, a.ccl, a.place, a.id)
+                  left join sca s on (s.sent_id, s.ccl, s.place, s.id) = (a.sent_id, a.ccl, a.place, a.id) where a.key = 'words') w
+              on (w.sent_id, w.ccl, w.place, w.owner) = (c.sent_id, c.ccl, c.place, c.id) where w.scalar is not null)"""
+_P1_ARGUMENTS = "select sent_id, a, unnest(a.args) as b from (select sent_id, unnest(argument_structures) as a from sentences)"
 P1_SQL = {
     "p1_words": "select distinct sent_id, i::int as word_no, words[i + 1].orth as orth, words[i + 1].base as base, words[i + 1].ctag as ctag, words[i + 1].nps as nps from (select sent_id, words, unnest(range(len(words))) as i from sentences) where words[i + 1] is not null",
-    "p1_arguments": """
+    "p1_chunks": f"with {_P1_CHUNKS} select distinct sent_id, chunk_type, number, head from chu",
+    "p1_chunk_words": f"with {_P1_CHUNKS} select distinct sent_id, chunk_type, number, word_index from cwo",
+    "p1_found": f"""with {_P1_CHUNKS}
+        select distinct sent_id, 'word' as kind, '' as parent_key, i::varchar as child_key from (select sent_id, words, unnest(range(len(words))) as i from sentences) where words[i + 1] is not null
+        union select sent_id, 'argument', a.pred.left_ix || '-' || a.pred.right_ix, b.span.left_ix || '-' || b.span.right_ix from ({_P1_ARGUMENTS})
+              where a.pred.left_ix is not null and a.pred.right_ix is not null and b.span.left_ix is not null and b.span.right_ix is not null
+        union select sent_id, 'chunk', chunk_type, number from chu
+        union select sent_id, 'chunk_word', chunk_type || ':' || number, word_index from cwo""",
+    "p1_arguments": f"""
         select distinct sent_id, a.pred.left_ix as pred_left, a.pred.right_ix as pred_right, b.span.left_ix as left_ix, b.span.right_ix as right_ix,
                b.argument_type as argument_type, b.syntactic_head as syntactic_head, b.semantic_head as semantic_head
-        from (select sent_id, a, unnest(a.args) as b from (select sent_id, unnest(argument_structures) as a from sentences)) where b is not null""",
+        from ({_P1_ARGUMENTS}) where b is not null""",
 }
 
 

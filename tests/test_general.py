@@ -37,11 +37,11 @@ def test_shred_small(spark):
     rows = [(1, text, "x"), (1, text, "x"), (2, text[:-1], "x"), (3, None, "x"), (None, '{"chunks": {"vp": {"number": 7}}}', "x"), (4, "", "x"), (5, '{"chunks": "[{\\"number\\": 9, \\"chunkType\\": \\"\\ud800\\"}]"}', "x")]
     df = spark.createDataFrame(rows, "k long, t string, rec string")
     nodes = shred(df, "k", ["t"], roots=["chunks"])
-    found = entities(nodes, ["number", "chunkType"], needed="number").withColumn("type", F.coalesce("chunkType", "label"))
+    found = entities(nodes, ["number", "chunkType"], needed="number", lists=("words",)).withColumn("type", F.coalesce("chunkType", "label"))
     assert found.count() == 4  # the repeated record came once
     got = {(r["key"], r["type"], r["number"]) for r in found.collect()}
     assert got == {(1, "np", "1"), (1, "chunks", "2"), (None, "vp", "7"), (5, "�", "9")}
-    words = children(found, nodes, "words", ["type", "number"], "w")
+    words = children(found, "words", ["type", "number"], "w")
     assert {(r["key"], r["number"], r["w"]) for r in words.collect()} == {(1, "1", "3"), (1, "1", "4"), (1, "2", "5")}
     assert shred(df.limit(0), "k", ["t"]).count() == 0
 
