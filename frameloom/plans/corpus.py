@@ -13,7 +13,8 @@ from frameloom.operators import frames as V
 from frameloom.operators import models as M
 from frameloom.operators import search as X
 from frameloom.operators import statistics as S
-from frameloom.operators.hierarchy import hierarchy
+from frameloom.operators.hierarchy import root_levels
+from frameloom.plans.general import synset_edges
 from frameloom.runtime import cut, table, tidy
 
 QUERIES: dict = {}
@@ -297,12 +298,11 @@ _UNITS = "un as (select distinct synset_id, unnest(lex_units) as unit from synse
 def o59_top_synsets(spark, d):
     """Top hypernyms of every lexical unit; a synset without hypernym is its own top."""
     synsets = table(spark, d, "synsets")
-    edges = table(spark, d, "synset_relations").where("relation_type = 11")
-    roots = hierarchy(synsets, edges, "synset_id", "child_id", "parent_id")["roots"]
+    edges = synset_edges(spark, d)
     known = synsets.select(F.col("synset_id").alias("node")).where("node is not null").distinct()
-    ends = known.select(F.col("node").alias("parent_id"))
-    below = edges.join(known, edges.child_id == known.node, "left_semi").join(ends, "parent_id", "left_semi").select(F.col("child_id").alias("node"))
-    tops = roots.select("node", F.col("root").alias("top_synset")).unionByName(known.join(below, "node", "left_anti").select("node", F.col("node").alias("top_synset")))
+    tops = root_levels(edges).select("node", F.col("root").alias("top_synset"))
+    lone = known.join(edges.select(F.explode(F.array("child", "parent")).alias("node")), "node", "left_anti")
+    tops = tops.unionByName(lone.select("node", F.col("node").alias("top_synset")))
     units = synsets.select(F.col("synset_id").alias("node"), F.explode("lex_units").alias("unit")).where("unit is not null").distinct()
     return units.join(tops, "node").select("unit", "top_synset").distinct()
 

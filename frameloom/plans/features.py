@@ -12,7 +12,8 @@ from frameloom.operators import corpus as C
 from frameloom.operators import frames as V
 from frameloom.operators import statistics as S
 from frameloom.operators import tokens as K
-from frameloom.operators.hierarchy import hierarchy
+from frameloom.operators.hierarchy import ancestor_pairs
+from frameloom.plans.general import synset_edges
 from frameloom.plans.corpus import CAND, CASE, FRAMES, MATCH, OCC, SLOTS, SR, TOK, VERB, _frames, _sr, _tokens
 from frameloom.runtime import table
 
@@ -153,7 +154,7 @@ def o141_encoders(spark, d):
 def o124_split_sums(spark, d):
     """Mass of every synset when each unit counts once, split over its synsets and summed up the hierarchy."""
     synsets = table(spark, d, "synsets")
-    pairs = hierarchy(synsets, table(spark, d, "synset_relations").where("relation_type = 11"), "synset_id", "child_id", "parent_id")["pairs"]
+    pairs = ancestor_pairs(synset_edges(spark, d))
     units = synsets.select("synset_id", F.explode("lex_units").alias("unit")).where("unit is not null").distinct().withColumn("n", F.lit(1))
     return K.split_sums(units, pairs).select("synset_id", F.round("mass", 4).alias("mass"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.operators.hierarchy import hierarchy
+from frameloom.operators.hierarchy import ancestor_pairs, clean_edges, cycle_members, root_levels
 from frameloom.operators.shred import children, entities, shred, shred_columns
 from frameloom.operators.skew import keys_with_share, salted_aggregate
 from frameloom.runtime import cut, table, tidy
@@ -138,48 +138,52 @@ P4_SQL = {
 }
 
 
-def _synset_hierarchy(spark, d, with_paths=False):
+def synset_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Hypernym edges (child, parent) whose ends are both synsets."""
     edges = table(spark, d, "synset_relations").where("relation_type = 11")
-    return hierarchy(table(spark, d, "synsets"), edges, "synset_id", "child_id", "parent_id", with_paths)
+    return cut(clean_edges(edges, table(spark, d, "synsets"), "child_id", "parent_id", "synset_id"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    h = _synset_hierarchy(spark, d)
-    roots = h["roots"].select(F.col("node").alias("synset_id"), F.lit("root").alias("kind"), F.col("root").alias("other_id"))
-    return roots.unionByName(h["cycles"].select(F.col("node").alias("synset_id"), F.lit("cycle").alias("kind"), F.col("cycle").alias("other_id")))
+    edges = synset_edges(spark, d)
+    roots = root_levels(edges).where("depth > 0").select(F.col("node").alias("synset_id"), F.lit("root").alias("kind"), F.col("root").alias("other_id"))
+    return roots.unionByName(cycle_members(edges).select(F.col("node").alias("synset_id"), F.lit("cycle").alias("kind"), F.col("cycle").alias("other_id")))
 
 
 def p5_hyponyms(spark: SparkSession, d: str) -> DataFrame:
     """Every synset with each of its hyponyms and the number of levels between."""
-    return _synset_hierarchy(spark, d)["pairs"].select(F.col("ancestor").alias("synset_id"), F.col("node").alias("hyponym_id"), F.col("distance").cast("int").alias("levels"))
+    return ancestor_pairs(synset_edges(spark, d)).select(F.col("ancestor").alias("synset_id"), F.col("node").alias("hyponym_id"), F.col("distance").cast("int").alias("levels"))
 
 
 def p5_paths(spark: SparkSession, d: str) -> DataFrame:
-    """For every synset and each root it leads up to: the depth below the root and the smallest shortest path from the root.
+    """For every synset and each root it leads up to: the depth below the root and the shortest path from the root, of several the one with the smallest parent at every step up.
 
     A synset without hypernym is its own root at depth 0. One that leads only into a cycle has one row without root, depth and path."""
-    h = _synset_hierarchy(spark, d, True)
-    below = h["roots"].select(F.col("node").alias("synset_id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), F.array_join(F.reverse("path"), "/").alias("path"))
+    edges = synset_edges(spark, d)
+    below = root_levels(edges, True).select(F.col("node").alias("synset_id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), "path")
     known = table(spark, d, "synsets").select("synset_id").where("synset_id is not null").distinct()
-    rest = known.join(below.select("synset_id").distinct(), "synset_id", "left_anti")
-    led = h["pairs"].select(F.col("node").alias("synset_id"), F.lit(True).alias("led")).distinct()
+    led = edges.select(F.col("child").alias("synset_id"), F.lit(True).alias("led")).distinct()
     top = F.col("led").isNull()
-    alone = rest.join(led, "synset_id", "left").select("synset_id", F.when(top, F.col("synset_id")).alias("root_id"), F.when(top, 0).alias("depth"), F.when(top, F.col("synset_id").cast("string")).alias("path"))
+    rest = known.join(below.select("synset_id").distinct(), "synset_id", "left_anti").join(led, "synset_id", "left")
+    alone = rest.select("synset_id", F.when(top, F.col("synset_id")).alias("root_id"), F.when(top, 0).alias("depth"), F.when(top, F.col("synset_id").cast("string")).alias("path"))
     return below.unionByName(alone)
 
 
 _P5_EDGES = """
     e as (select distinct child_id as c, parent_id as p from synset_relations
-          where relation_type = 11 and child_id in (select synset_id from synsets) and parent_id in (select synset_id from synsets)),
-    up as (select c as node, p as anc from e union select up.node, e.p from up join e on up.anc = e.c)"""
+          where relation_type = 11 and child_id in (select synset_id from synsets) and parent_id in (select synset_id from synsets))"""
 P5_SQL = {
-    "p5_found": f"""with recursive {_P5_EDGES}
+    "p5_found": f"""with recursive {_P5_EDGES}, up as (select c as node, p as anc from e union select up.node, e.p from up join e on up.anc = e.c)
         select node as synset_id, 'root' as kind, anc as other_id from up where anc not in (select c from e)
         union all select a.node, 'cycle', min(a.anc) from up a join up b on a.node = b.anc and a.anc = b.node group by a.node""",
-    "p5_hyponyms": """with recursive e as (select distinct child_id as c, parent_id as p from synset_relations
-          where relation_type = 11 and child_id in (select synset_id from synsets) and parent_id in (select synset_id from synsets)),
-        up as (select c as node, p as anc, 1 as d from e union select up.node, e.p, d + 1 from up join e on up.anc = e.c where d < 120)
-        select anc as synset_id, node as hyponym_id, min(d)::int as levels from up group by 1, 2""",
+    # breadth first: a pair that is there already is not taken up again, so the depth needs no bound
+    "p5_hyponyms": f"""with recursive {_P5_EDGES}, up(node, anc, d) using key (node, anc) as (select c, p, 1 from e
+        union select up.node, e.p, min(d) + 1 from up join e on up.anc = e.c where not exists (select 1 from recurring.up r where r.node = up.node and r.anc = e.p) group by 1, 2)
+        select anc as synset_id, node as hyponym_id, d::int as levels from up""",
+    "p5_paths": f"""with recursive {_P5_EDGES}, s as (select distinct synset_id as id from synsets where synset_id is not null),
+        t(node, root, d, path) using key (node, root) as (select id, id, 0, id::varchar from s where id not in (select c from e)
+        union select e.c, t.root, min(d) + 1, arg_min(t.path, t.node) || '/' || e.c from t join e on e.p = t.node where not exists (select 1 from recurring.t r where r.node = e.c and r.root = t.root) group by 1, 2)
+        select node as synset_id, root as root_id, d::int as depth, path from t union all select id, null, null, null from s where id not in (select node from t)""",
 }
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_words, p1_arguments, p1_chunks, p1_chunk_words, p4_found, p4_predicate_stats, p5_found, p5_hyponyms, p5_paths)}

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frameloom.functions.jsontext import NotJson, _loads_deep, loads
-from frameloom.operators.hierarchy import hierarchy
+from frameloom.operators.hierarchy import clean_edges, cycle_members, hierarchy, root_levels
 from frameloom.operators.shred import children, entities, shred
 from frameloom.operators.skew import keys_with_share, salted_aggregate
 from frameloom.plans import general
@@ -138,11 +138,51 @@ def test_hierarchy(spark, seed):
 
     def smallest(a, b):
         if dist[a, b] == 1:
-            return [a, b]
-        return min([a] + smallest(p, b) for p in up[a] if (p, b) in dist and dist[p, b] == dist[a, b] - 1)
+            return [b, a]
+        return smallest(min(p for p in up[a] if (p, b) in dist and dist[p, b] == dist[a, b] - 1), b) + [a]
 
+    levels = root_levels(clean_edges(spark.createDataFrame(edges, "c long, p long"), nodes, "c", "p", "id"), True, few_edges=0)
+    assert sorted(levels.where("depth > 0").collect()) == sorted(h["roots"].collect())
     for r in h["roots"].collect():
-        assert list(r["path"]) == smallest(r["node"], r["root"])
+        assert r["path"] == "/".join(map(str, smallest(r["node"], r["root"])))
+
+
+@pytest.mark.parametrize("seed", (1, 3))
+def test_cycles_of_dense_and_chained_graphs(spark, seed):
+    """Cycles within cycles, chains between them, self-loops and trees, against reachability."""
+    rng = random.Random(seed)
+    n = 60
+    edges = {(rng.randrange(n), rng.randrange(n)) for _ in range((40, 55, 70, 110)[seed])}
+    for start in (100, 120):  # a cycle of 12 with a chain to the rest and one back
+        ring = list(range(start, start + 12))
+        rng.shuffle(ring)
+        edges |= set(zip(ring, ring[1:] + ring[:1])) | {(ring[0], 200 + start), (200 + start, rng.randrange(n)), (rng.randrange(n), ring[5]), (ring[3], ring[8])}
+    up = defaultdict(set)
+    for c, p in edges:
+        up[c].add(p)
+
+    def above(x):
+        seen, todo = set(), list(up[x])
+        while todo:
+            y = todo.pop()
+            if y not in seen:
+                seen.add(y)
+                todo += up[y]
+        return seen
+
+    reach = {x: above(x) for x in {v for e in edges for v in e}}
+    want = {x: min(y for y in reach[x] if x in reach[y]) for x in reach if x in reach[x]}
+    for few in (0, 50_000):
+        rows = cycle_members(spark.createDataFrame(sorted(edges), "child long, parent long"), few).collect()
+        assert len(rows) == len(want) and {r["node"]: r["cycle"] for r in rows} == want
+
+
+def test_long_cycle(spark):
+    """A cycle of 100,000 nodes, with a tree below it, comes out as one row per node."""
+    ring = spark.range(100_000).select((F.col("id") * 7 + 5).alias("child"), (((F.col("id") + 1) % 100_000) * 7 + 5).alias("parent"))
+    tree = spark.range(1000).select((F.col("id") + 1_000_000).alias("child"), (F.col("id") * 7 + 5).alias("parent"))
+    rows = cycle_members(ring.unionByName(tree))
+    assert rows.agg(F.count(F.lit(1)), F.countDistinct("node"), F.min("cycle"), F.max("cycle")).first()[:] == (100_000, 100_000, 5, 5)
 
 
 def test_hierarchy_empty(spark):
