@@ -126,8 +126,9 @@ SQL = {
     "p3_found": _P3 + " select field_name, term, band from b where band <> 'useful'",
     "p3_terms": _P3 + " select field_name, term, n_occurrences, n_sentences, band from b",
     "p3_base_ngrams": """
-        with t as (select sent_id, word_no::bigint as p, min(base) as w from tokens where base <> '' group by 1, 2),
-        g as (select a.sent_id, a.w as ngram, 1 as length, a.p from t a
+        with v as (select distinct sent_id, word_no::bigint as p, base as w from tokens where base <> ''),
+        t as (select sent_id, p, min(w) as w from v group by 1, 2),
+        g as (select sent_id, w as ngram, 1 as length, p from v
               union all select a.sent_id, a.w || ' ' || b.w, 2, a.p from t a join t b on a.sent_id = b.sent_id and b.p = a.p + 1
               union all select a.sent_id, a.w || ' ' || b.w || ' ' || c.w, 3, a.p from t a join t b on a.sent_id = b.sent_id and b.p = a.p + 1 join t c on a.sent_id = c.sent_id and c.p = a.p + 2)
         select ngram, length, count(*) as n, count(distinct sent_id) as n_records from g group by 1, 2""",

@@ -9,7 +9,7 @@ from frameloom.llm.ngrams import SuffixStack, ngram_counts
 
 
 def brute(rows, max_len):
-    seen, at = {}, defaultdict(dict)
+    every, at = defaultdict(set), defaultdict(dict)
     alone = []
     for g, r, p, t in rows:
         if not t:
@@ -17,7 +17,8 @@ def brute(rows, max_len):
         if r is None or p is None:
             alone.append((g, r, t))
         else:
-            at[g, r][p] = min(t, at[g, r].get(p, t))
+            every[g, r, p].add(t)
+            at[g, r][p] = min(every[g, r, p])
     counts, records = defaultdict(int), defaultdict(set)
     for (g, r), terms in at.items():
         for p in terms:
@@ -26,6 +27,10 @@ def brute(rows, max_len):
                 if None not in run:
                     counts[g, run] += 1
                     records[g, run].add(r)
+    for (g, r, p), terms in every.items():  # the others of a place count by themselves
+        for t in terms - {min(terms)}:
+            counts[g, (t,)] += 1
+            records[g, (t,)].add(r)
     for g, r, t in alone:
         counts[g, (t,)] += 1
         if r is not None:
@@ -43,8 +48,6 @@ def test_ngram_counts(spark, max_len, shard_rows):
                 row = (rng.choice("xy") if max_len == 1 else "x", r, p, rng.choice(["a", "a", "a", "b", "c", "ż", "", None, "a b"]))
                 rows += [row] * rng.choice([1, 1, 2])
     rows += [("x", None, 1, "a"), ("x", None, 1, "a"), ("x", 3, None, "q"), ("x", 7, 0, "long" * 5000)]
-    if max_len == 1:  # one row per key there; for longer ones a repeated key takes its smallest term
-        pass
     df = spark.createDataFrame(rows, "g string, rec long, pos int, term string").repartition(3)
     got = {(r["g"], tuple(r["ngram"])): (r["n"], r["n_records"]) for r in ngram_counts(df, "rec", "pos", "term", max_len, ("g",), shard_rows).collect()}
     if max_len == 1:
