@@ -79,8 +79,8 @@ def _suffixes(rows: DataFrame, groups: list[str], max_len: int) -> DataFrame:
     # copies of a row are merged before they are routed, and rows that have no place are counted, so that neither pile up in one task
     keyed = rows.where("record is not null and position is not null").distinct()
     loose = rows.where("record is null or position is null").groupBy(*groups, "record", "term").agg(F.count(F.lit(1)).alias("times"))
-    alone = lambda df: df.select(*groups, "record", "position", F.array("term").alias("suffix"), F.lit(1).cast("long").alias("times"))
-    loose = loose.select(*groups, "record", F.lit(None).cast("long").alias("position"), F.array("term").alias("suffix"), "times")
+    alone = lambda df: df.select(*groups, "record", F.array("term").alias("suffix"), F.lit(1).cast("long").alias("times"))
+    loose = loose.select(*groups, "record", F.array("term").alias("suffix"), "times")
     if max_len == 1:
         return alone(keyed).unionByName(loose)
     placed = rows.where("record is not null and position is not null").groupBy(*groups, "record", "position").agg(F.array_sort(F.collect_set("term")).alias("terms"))
@@ -88,7 +88,7 @@ def _suffixes(rows: DataFrame, groups: list[str], max_len: int) -> DataFrame:
     spread = placed.select(*groups, "record", F.element_at("terms", 1).alias("term"), F.explode(F.sequence(F.lit(0), F.lit(max_len - 1))).alias("j"), "position").withColumn("position", F.col("position") - F.col("j"))
     others = alone(placed.where("size(terms) > 1").select(*groups, "record", "position", F.explode(F.slice("terms", F.lit(2), F.size("terms"))).alias("term")))
     gathered = spread.groupBy(*groups, "record", "position").agg(F.array_sort(F.collect_list(F.struct("j", "term"))).alias("after"))
-    runs = gathered.select(*groups, "record", "position", F.transform(F.filter("after", lambda x, i: x["j"] == i), lambda x: x["term"]).alias("suffix"), F.lit(1).cast("long").alias("times")).where("size(suffix) > 0")
+    runs = gathered.select(*groups, "record", F.transform(F.filter("after", lambda x, i: x["j"] == i), lambda x: x["term"]).alias("suffix"), F.lit(1).cast("long").alias("times")).where("size(suffix) > 0")
     return runs.unionByName(others).unionByName(loose)
 
 
@@ -98,18 +98,16 @@ def _codes(column) -> np.ndarray:
     return pa.compute.fill_null(column.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _runs(keys: list, suffix, record, position, max_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per row of a sorted batch whether it starts a run of (keys, suffix), whether it repeats the row before, and whether its record is new to the run."""
+def _runs(keys: list, suffix, record, max_len: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row of a sorted batch whether it starts a run of (keys, suffix), and whether its record is new to the run."""
     n = len(suffix)
     where, flat = pa.compute.list_parent_indices(suffix).to_numpy(), _codes(suffix.flatten())
     first = np.concatenate([[0], np.cumsum(np.bincount(where, minlength=n))])[:-1]
     table = np.full((n, max_len), -1)
     table[where, np.arange(len(flat)) - first[where]] = flat
-    rec, pos = _codes(record), _codes(position)
+    rec = _codes(record)
     same = np.concatenate([[False], (table[1:] == table[:-1]).all(1) & np.logical_and.reduce([c[1:] == c[:-1] for c in map(_codes, keys)])])
-    same_record = same & np.concatenate([[False], rec[1:] == rec[:-1]])
-    repeated = same_record & np.concatenate([[False], pos[1:] == pos[:-1]]) & (rec >= 0) & (pos >= 0)
-    return ~same, repeated, ~same_record & (rec >= 0)
+    return ~same, ~(same & np.concatenate([[False], rec[1:] == rec[:-1]])) & (rec >= 0)
 
 
 def ngram_counts(df: DataFrame, record: str, position: str, term: str, max_len: int = 1, groups: tuple[str, ...] = (), shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -132,12 +130,14 @@ def ngram_counts(df: DataFrame, record: str, position: str, term: str, max_len:
         on = on & F.col(c).eqNullSafe(F.col(f"w_{c}"))
     routed = routed.join(F.broadcast(wide) if wide.count() <= FEW_TERMS else wide, on, "left")
     routed = routed.withColumn("salt", F.when(F.col("record").isNull(), 0).otherwise(F.pmod(F.xxhash64("record"), F.coalesce("salts", F.lit(1).cast("long")))))
-    ordered = routed.select(*g, "first", "salt", "suffix", "record", "position", "times").repartition(*g, "first", "salt").sortWithinPartitions(*g, "first", "salt", F.col("suffix").desc(), "record", "position")
+    # shards lie together by a hash, which sorts faster than their names; of equal hashes the names decide
+    shard = [F.xxhash64(*g, "first", "salt"), *g, "first", "salt"] + ([F.col("suffix").desc()] if max_len > 1 else [])
+    ordered = routed.select(*g, "first", "salt", "suffix", "record", "times").repartition(*g, "first", "salt").sortWithinPartitions(*shard, "record")
     fields = [ordered.schema[c] for c in g]
     out = T.StructType([*fields, T.StructField("ngram", T.ArrayType(T.StringType())), T.StructField("n", T.LongType()), T.StructField("n_records", T.LongType())])
 
     def run(batches):
-        stack, shard, last, held = SuffixStack(max_len > 1), None, None, []
+        stack, shard, held = SuffixStack(max_len > 1), None, []
 
         def flush(kinds):
             columns = list(zip(*held))
@@ -151,15 +151,10 @@ def ngram_counts(df: DataFrame, record: str, position: str, term: str, max_len:
                 continue
             kinds = [batch.schema.field(c).type for c in g]
             keys = [batch.column(c) for c in (*g, "salt")]
-            suffix, record, position = (batch.column(c) for c in ("suffix", "record", "position"))
-            starts, repeated, fresh = _runs(keys, suffix, record, position, max_len)
-            times = np.where(repeated, 0, batch.column("times").to_numpy())
-            row = lambda i: ([k[i].as_py() for k in keys], suffix[i].as_py(), record[i].as_py(), position[i].as_py())
-            if last is not None and None not in last[2:] and row(0) == last:
-                times[0] = 0  # the last row of the batch before once more
-            last = row(batch.num_rows - 1)
+            suffix, record = batch.column("suffix"), batch.column("record")
+            starts, fresh = _runs(keys, suffix, record, max_len)
             at = np.flatnonzero(starts)
-            counts, ends = np.add.reduceat(times, at), np.append(at[1:], len(starts))
+            counts, ends = np.add.reduceat(batch.column("times").to_numpy(), at), np.append(at[1:], len(starts))
             new, values = np.flatnonzero(fresh), record.take(pa.array(np.flatnonzero(fresh))).to_pylist()
             cuts = np.searchsorted(new, np.stack([at, ends]))
             heads = zip(*[k.take(pa.array(at)).to_pylist() for k in keys], suffix.take(pa.array(at)).to_pylist())
@@ -176,7 +171,7 @@ def ngram_counts(df: DataFrame, record: str, position: str, term: str, max_len:
         if held:
             yield flush(kinds)
 
-    parts = ordered.select(*g, "salt", "record", "position", "suffix", "times").mapInArrow(run, out)
+    parts = ordered.select(*g, "salt", "record", "suffix", "times").mapInArrow(run, out)
     merged = parts.groupBy(*g, "ngram").agg(F.sum("n").alias("n"), F.sum("n_records").alias("n_records"))
     return merged.select(*[F.col(a).alias(c) for c, a in zip(groups, g)], "ngram", "n", "n_records")
 
