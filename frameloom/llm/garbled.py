@@ -307,7 +307,7 @@ def train_chain_model(df: DataFrame, text: str, lang: str, sample_docs: int = SA
     every = max(1, total // (2 * sample_docs))
     usual = "^[\\x00-\\x7f" + "".join(sorted(CLEAN)) + "]*$"
     picked = df.where((F.pmod(F.xxhash64(text), F.lit(every)) == 0) & F.col(lang).isin(*LETTERS) & F.col(text).rlike(usual) & (F.length(text) <= SAMPLE_CHARS))
-    rows = picked.select(lang, text).limit(sample_docs).collect()
+    rows = picked.orderBy(F.xxhash64(text), lang).select(lang, text).limit(sample_docs).collect()
     return ChainModel.train([(r[0], r[1]) for r in rows])
 
 

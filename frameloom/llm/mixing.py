@@ -44,6 +44,17 @@ def exponent_for_entropy(sizes: dict[str, float], wanted: float) -> float:
     return bisect(0.0, 64.0, lambda x: entropy(tempered(shares, x)) >= wanted)
 
 
+def relative_entropy(weights: dict[str, float], shares: dict[str, float]) -> float:
+    return sum(w * math.log(w / shares[s]) for s, w in weights.items() if w > 0)
+
+
+def exponent_for_targets(shares: dict[str, float], targets: dict[str, float]) -> float:
+    """The exponent at which the shares tempered towards the targets are as far from the natural shares, in relative entropy, as the targets are.
+    The distance grows with the exponent, so bisection finds it."""
+    wanted = relative_entropy(tempered(targets, 1.0), tempered(shares, 1.0))
+    return bisect(0.0, 2.0, lambda x: relative_entropy(tempered(shares, x, targets), shares) <= wanted)
+
+
 def largest_total(sizes: dict[str, float], weights: dict[str, float], caps: dict[str, int | None]) -> float:
     """The largest total at which no source has to be repeated more often than its cap; without caps, the total size."""
     bounds = [caps[s] * sizes[s] / w for s, w in weights.items() if w > 0 and caps.get(s) is not None]
@@ -53,23 +64,22 @@ def largest_total(sizes: dict[str, float], weights: dict[str, float], caps: dict
 def plan_weights(sizes: dict[str, float], targets: dict[str, float], caps: dict[str, int | None], total: float | None = None) -> tuple[dict[str, float], float, float]:
     """(weights, total, exponent) of a mix of sources with these sizes.
 
-    The weights are the shares tempered towards the targets with the largest exponent up to 1 at which no cap is exceeded at
-    ``total``; without a total it is 1, and the total the largest possible. Sources of no size fall out and the rest is normalised.
+    The natural shares are tempered towards the targets, and the exponent is bisected: without a total to the relative entropy of the targets, which gives
+    the targets themselves, and the total is the largest at which no source exceeds its cap; with a wanted total to the repetition limit, the
+    largest exponent up to that at which no cap is exceeded. Sources of no size fall out and the rest is normalised.
     """
     have = {s: n for s, n in sizes.items() if n > 0 and targets.get(s, 0) > 0}
     if not have:
         return {}, 0.0, 1.0
     shares = {s: n / sum(have.values()) for s, n in have.items()}
-    if total is None:
-        weights = tempered(shares, 1.0, targets)
-        return weights, largest_total(have, weights, caps), 1.0
-
-    def holds(x: float) -> bool:
-        return total <= largest_total(have, tempered(shares, x, targets), caps) + 1e-9 or all(caps.get(s) is None for s in have)
-
-    exponent = bisect(0.0, 1.0, holds) if holds(0.0) else 0.0
+    exponent = exponent_for_targets(shares, {s: targets[s] for s in have})
+    capped = any(caps.get(s) is not None for s in have)
+    if total is not None and capped:
+        holds = lambda x: total <= largest_total(have, tempered(shares, x, targets), caps) + 1e-9
+        exponent = bisect(0.0, exponent, holds) if holds(0.0) else 0.0
     weights = tempered(shares, exponent, targets)
-    return weights, min(total, largest_total(have, weights, caps)) if any(caps.get(s) is not None for s in have) else total, exponent
+    most = largest_total(have, weights, caps)
+    return weights, most if total is None else min(total, most) if capped else total, exponent
 
 
 def mix(df: DataFrame, key: str, source: str, size: str, targets: list[tuple[str, float, int | None]], total: float | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
@@ -78,7 +88,7 @@ def mix(df: DataFrame, key: str, source: str, size: str, targets: list[tuple[str
     ``targets``: (source, share, most repeats or None). The selection has ``key``, ``source``, ``size`` and ``uses``, how
     often to use the record; no use exceeds the cap. Budgets are realised as whole passes over the source and one partial
     pass over a permutation: blocks in random order, and in the block where the budget ends, records in random order as long as they fit.
-    The report has a row per target: ``available``, ``budget``, ``taken``, ``share`` (reached), ``most_uses``.
+    The report has a row per target: ``available``, ``budget``, ``taken``, ``share`` (reached), ``most_uses``, ``unused`` (the size of its records that are never used) and the ``exponent`` of the mix.
 
     Records with null key, null source or another source than the targets', and those of null or no size, take no part; a repeated
     key counts once, with its largest size. A target without records is reported with share 0. Targets repeat at most once each.
@@ -89,7 +99,7 @@ def mix(df: DataFrame, key: str, source: str, size: str, targets: list[tuple[str
     sums = {r["source"]: (r["n"], r["records"]) for r in records.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("records")).collect()}
     sizes = {s: float(sums.get(s, (0, 0))[0]) for s in wanted}
     caps = {s: r for s, (_, r) in wanted.items()}
-    weights, total, _ = plan_weights(sizes, {s: w for s, (w, _) in wanted.items()}, caps, total)
+    weights, total, exponent = plan_weights(sizes, {s: w for s, (w, _) in wanted.items()}, caps, total)
     budget = {s: math.floor(total * weights.get(s, 0.0) + 1e-6) for s in wanted}
     passes = {s: int(budget[s] // sizes[s]) if sizes[s] else 0 for s in wanted}
     partial = {s: int(budget[s] - passes[s] * sizes[s]) for s in wanted}
@@ -116,9 +126,9 @@ def mix(df: DataFrame, key: str, source: str, size: str, targets: list[tuple[str
     kind = df.schema[key].dataType.simpleString()
     edge = joined.where("not whole").select("source", "block", "id", "size", "draw", "room").groupBy("source", "block").applyInArrow(fill, f"id {kind}, source string, size bigint, extra bigint")
     chosen = inner.unionByName(edge.select("id", "source", "size", (rounds + F.col("extra")).alias("uses"))).where("uses > 0")
-    taken = chosen.groupBy("source").agg(F.sum(F.col("size") * F.col("uses")).alias("taken"), F.max("uses").alias("most_uses"))
+    taken = chosen.groupBy("source").agg(F.sum(F.col("size") * F.col("uses")).alias("taken"), F.max("uses").alias("most_uses"), F.sum("size").alias("used"))
     plan = df.sparkSession.createDataFrame([(s, w, r, int(sizes[s]), int(budget[s])) for s, (w, r) in wanted.items()], "source string, target double, most_repeats int, available long, budget long")
-    report = plan.join(taken, "source", "left").fillna(0, ["taken", "most_uses"])
+    report = plan.join(taken, "source", "left").fillna(0, ["taken", "most_uses", "used"]).withColumn("unused", F.col("available") - F.col("used")).drop("used").withColumn("exponent", F.lit(round(exponent, 9)))
     everything = F.sum("taken").over(Window.partitionBy(F.lit(1)))  # a row per target
     report = report.withColumn("share", F.when(everything > 0, F.col("taken") / everything).otherwise(F.lit(0.0)))
     return chosen.select(F.col("id").alias(key), "source", "size", "uses"), report

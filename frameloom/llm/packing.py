@@ -8,8 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from frameloom.runtime import cut
+
 #: Items are packed in blocks of about this many; each block leaves at most about one container badly filled.
 BLOCK_ITEMS = 20_000
+#: More tasks than this are of no use to a cluster; beyond it a task packs several blocks, one after another.
+MOST_TASKS = 100_000
 
 
 def best_fill(room: int, lengths: list[int], counts: dict[int, int]) -> dict[int, int]:
@@ -81,18 +85,19 @@ def pack(df: DataFrame, key: str, size: str, profiles: list[tuple[str, int]], bl
     Columns: ``profile``, ``container`` (name, unique), ``key``, ``piece`` and ``start`` (of an item that alone exceeds the
     capacity; else 0), ``length``, and ``filled``, the sum of the container. Every row of ``df`` is an item, repeated ones too; a
     null or negative size counts as 0, and items of size 0 join the first container of their block. Items are spread over
-    blocks of bounded size by a hash of row and key. An empty table gives no containers.
+    blocks of bounded size at random, with a fixed seed. An empty table gives no containers.
     """
     profiles = sorted({(p, int(c)) for p, c in profiles if c is not None and c > 0}, key=str)
     if not profiles:
         raise ValueError("no profile with a positive capacity")
     items = df.select(F.col(key).alias("id"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("size"))
+    items = cut(items)  # written rows keep their order, and so their block, when a task is run again
     blocks = max(1, math.ceil(items.count() / block_items))
     kind = df.schema[key].dataType.simpleString()
-    # rand with a seed spreads also a third of the rows under one key; a re-run task over the same files draws the same
+    # rand with a seed spreads also a third of the rows under one key
     spread = items.withColumn("block", F.floor(F.rand(11) * blocks).cast("int")).withColumn("profile", F.explode(F.array(*[F.struct(F.lit(p).alias("name"), F.lit(c).cast("long").alias("capacity")) for p, c in profiles])))
     # a block is little data and much work: one partition for each, not as many as the size of the data asks for
-    flat = spread.select("profile.name", "profile.capacity", "block", "id", "size").repartition(min(4096, 2 * blocks * len(profiles)), "name", "capacity", "block")
+    flat = spread.select("profile.name", "profile.capacity", "block", "id", "size").repartition(min(MOST_TASKS, 2 * blocks * len(profiles)), "name", "capacity", "block")
 
     def run(table: pa.Table) -> pa.Table:
         name, capacity, block = (table[c][0].as_py() for c in ("name", "capacity", "block"))

@@ -55,7 +55,7 @@ def p3_base_ngrams(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p6(spark: SparkSession, d: str) -> DataFrame:
-    sizes = cut(token_counts(table(spark, d, "documents"), "text", ["doc_id"]))
+    sizes = token_counts(table(spark, d, "documents"), "text", ["doc_id"])
     profiles = [(r["profile"], r["capacity_tokens"]) for r in table(spark, d, "pack_sizes").collect()]  # a fixed table of three rows
     return pack(sizes, "doc_id", "n_tokens", profiles)
 
@@ -84,11 +84,18 @@ def p7_selection(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Target and reached share of each source."""
+    """Target and reached share of each source, with what is left unused and the exponent."""
     sizes, targets = _p7_inputs(spark, d)
     return mix(sizes, "doc_id", "source", "n_tokens", targets)[1]
 
 
+def p7_whole_total(spark: SparkSession, d: str) -> DataFrame:
+    """The report of a mix as large as all tokens of the sources: the exponent is bisected to the repetition limits, so shares come as near to the targets as these allow."""
+    sizes, targets = _p7_inputs(spark, d)
+    total = sizes.where(F.col("source").isin([s for s, _, _ in targets])).agg(F.sum("n_tokens")).first()[0] or 0
+    return mix(sizes, "doc_id", "source", "n_tokens", targets, float(total))[1]
+
+
 def p7_temperature(spark: SparkSession, d: str) -> DataFrame:
     """Natural shares, and the shares tempered to the entropy of the targets, without looking at the single targets."""
     sizes, targets = _p7_inputs(spark, d)
@@ -134,4 +141,4 @@ SQL = {
         select ngram, length, count(*) as n, count(distinct sent_id) as n_records from g group by 1, 2""",
 }
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_most_similar, p3_found, p3_terms, p3_base_ngrams, p6_containers, p6_fill, p7_selection, p7_shares, p7_temperature, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_most_similar, p3_found, p3_terms, p3_base_ngrams, p6_containers, p6_fill, p7_selection, p7_shares, p7_whole_total, p7_temperature, p8_found, p8_restored)}

@@ -23,6 +23,8 @@ from frameloom.runtime import cut
 CELLS, CELL_ROWS, MOST_CELLS = 2, 1024, 4096
 LEVELS, WORDS, BEAM, RERANK = 4, 256, 3, 24
 SAMPLE_ROWS, MOST_SAMPLE = 8192, 65536
+#: All files together: the sample on the driver stays within this many vectors, however many files there are.
+MOST_TOTAL = 262_144
 BLOCK_ROWS = 16384
 CHUNK = 512
 #: Calibration: vectors of a file compared with all others, the share of their neighbours that may be lost, and the least pairs to go by.
@@ -229,6 +231,8 @@ def fit_quantisers(rows: DataFrame, k: int = 5, least: float = -1.0) -> dict:
     if not counts:
         return {}
     wanted = {f: min(MOST_SAMPLE, max(SAMPLE_ROWS, 16 * min(MOST_CELLS, int(2 * n * CELLS / CELL_ROWS)))) for f, n in counts.items()}
+    share = min(1.0, MOST_TOTAL / sum(min(wanted[f], n) for f, n in counts.items()))
+    wanted = {f: max(1, int(w * share)) for f, w in wanted.items()}
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
     limit = F.create_map(*[F.lit(x) for f, n in counts.items() for x in (f, int(min(1.0, wanted[f] / n) * (1 << 20)) + 1)])
     sample = rows.where(draw < F.element_at(limit, F.col("file"))).select("file", "dim", "vec").toArrow()
@@ -366,7 +370,9 @@ def most_similar(vectors: DataFrame, files: DataFrame, key: str, file: str, vec:
     reached = edges.unionByName(own).join(heads.withColumnRenamed("rep", "neighbour"), ["file", "neighbour"], "left")
     spread = reached.select("file", "id", F.explode(F.coalesce("heads", F.array("neighbour"))).alias("neighbour"), "cosine")
     listed = spread.groupBy("file", "id").agg(F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("minus"), "neighbour"))).alias("near"))
-    everyone = listed.join(members.select("file", F.col("rep").alias("id"), F.col("id").alias("member")), ["file", "id"], "left").select("file", F.coalesce("member", "id").alias("id"), "near")
+    # copies take the list of the first of their class; they are on the left, where adaptive execution splits a class that holds many rows
+    copied = members.withColumnRenamed("id", "member").join(listed.withColumnRenamed("id", "rep"), ["file", "rep"]).select("file", F.col("member").alias("id"), "near")
+    everyone = copied.unionByName(listed.join(members.select("file", F.col("rep").alias("id")).distinct(), ["file", "id"], "left_anti").select("file", "id", "near"))
     others = F.slice(_first_of_each(F.filter("near", lambda x: x["neighbour"] != F.col("id"))), 1, k)
     return everyone.select("file", "id", F.explode(others).alias("x")).select("file", "id", "x.neighbour", (-F.col("x.minus")).alias("cosine")).where(F.col("cosine") >= least)
 

@@ -69,7 +69,7 @@ def test_weights():
     targets = {"a": 0.5, "b": 0.3, "c": 0.1, "d": 0.1}
     caps = {"a": 1, "b": 2, "c": 4, "d": None}
     weights, total, exponent = mixing.plan_weights(sizes, targets, caps)
-    assert exponent == 1 and weights == pytest.approx({"a": 5 / 9, "b": 3 / 9, "c": 1 / 9}) and total == pytest.approx(360)
+    assert exponent == pytest.approx(1, abs=1e-6) and weights == pytest.approx({"a": 5 / 9, "b": 3 / 9, "c": 1 / 9}) and total == pytest.approx(360)
     weights, total, exponent = mixing.plan_weights(sizes, targets, caps, 900.0)
     assert 0 < exponent < 1 and total == pytest.approx(900) and all(total * w <= caps[s] * sizes[s] * (1 + 1e-6) for s, w in weights.items())
     assert mixing.plan_weights({}, targets, caps) == ({}, 0.0, 1.0)
@@ -98,5 +98,12 @@ def test_mix(spark, block, monkeypatch):
         assert report[s]["taken"] == taken[s] and abs(taken[s] / sum(taken.values()) - want) < 0.01
         assert report[s]["budget"] - 40 < taken[s] <= report[s]["budget"]
     assert report["none"]["share"] == 0 and set(report) == {"big", "mid", "small", "none"}
+    assert all(report[s]["unused"] == report[s]["available"] - sum(r["size"] for r in chosen if r["source"] == s) for s in report)
+    total = float(sum({r[0]: r[2] for r in rows if r[0] is not None and r[1] in caps and r[2]}.values()))
+    caps = {"big": 2, "mid": 2, "small": 1}
+    whole, limited = mixing.mix(df, "id", "source", "n", [(s, w, caps.get(s)) for s, w, _ in targets], total)
+    limited = {r["source"]: r for r in limited.collect()}
+    assert 0 <= limited["big"]["exponent"] < 0.999 and all(r["uses"] <= caps[r["source"]] for r in whole.collect())
+    assert sum(r["taken"] for r in limited.values()) > 0.97 * total
     empty, report = mixing.mix(df.limit(0), "id", "source", "n", targets)
     assert empty.count() == 0 and report.count() == 4
