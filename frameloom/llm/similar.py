@@ -369,7 +369,7 @@ def most_similar(vectors: DataFrame, files: DataFrame, key: str, file: str, vec:
     own = members.select("file", F.col("rep").alias("id")).distinct().select("file", "id", F.col("id").alias("neighbour"), F.lit(1.0).alias("cosine"))
     reached = edges.unionByName(own).join(heads.withColumnRenamed("rep", "neighbour"), ["file", "neighbour"], "left")
     spread = reached.select("file", "id", F.explode(F.coalesce("heads", F.array("neighbour"))).alias("neighbour"), "cosine")
-    listed = spread.groupBy("file", "id").agg(F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("minus"), "neighbour"))).alias("near"))
+    listed = cut(spread.groupBy("file", "id").agg(F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("minus"), "neighbour"))).alias("near")))
     # copies take the list of the first of their class; they are on the left, where adaptive execution splits a class that holds many rows
     copied = members.withColumnRenamed("id", "member").join(listed.withColumnRenamed("id", "rep"), ["file", "rep"]).select("file", F.col("member").alias("id"), "near")
     everyone = copied.unionByName(listed.join(members.select("file", F.col("rep").alias("id")).distinct(), ["file", "id"], "left_anti").select("file", "id", "near"))
