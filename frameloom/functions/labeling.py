@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Callable
 
@@ -13,6 +14,8 @@ from frameloom.functions.slots import QUESTION_WORDS
 #: Lemmas that recover a label's conjunction, and lemmas of the ``nonch`` filler.
 RECOVERED = {"iż": "że", "aby": "żeby", "gdy": "kiedy", "skoro": "ponieważ", "choć": "chociaż", "jeżeli": "jeśli"}
 NONCH = frozenset(("coś", "nic", "co", "sporo", "wiele", "dużo", "mało", "niewiele", "trochę"))
+#: How many tokens after ``jako`` count, and the labels that may not follow them.
+JAKO_REACH, JAKO_STOPPERS = 5, ("subj", "np(mian)", "np(bier)", "np(dop)")
 CASE_NAMES = {v: k for k, v in CASES.items()}
 
 Label = tuple[str, float]
@@ -102,18 +105,22 @@ def fill_questions(words: list[Word], labels: list[list[Label]]) -> list[list[La
 
 
 def fill_jako(words: list[Word], labels: list[list[Label]]) -> list[list[Label]]:
-    """``jako`` with an adjective and no noun in the next five tokens is prepadjp, otherwise prepnp."""
-    top = lambda i: labels[i][0][0] if labels[i] else "_"
-
-    def adjectival(i: int) -> bool:
-        seen, at = False, i + 1
-        while at < len(words) and words[at].pos not in VERB_POS and top(i) != "_" and at - i <= 5:
-            if words[at].ctag.startswith("subst"):
-                return False
-            seen, at = seen or words[at].ctag.startswith("adj"), at + 1
-        return seen and not (at < len(words) and top(at) in ("subj", "np(mian)", "np(bier)", "np(dop)"))
-
-    return [[("prepadjp(jako,str)" if adjectival(i) else "prepnp(jako,str)", 1.0)] if w.base == "jako" and _open(own) else own for i, (w, own) in enumerate(zip(words, labels))]
+    """``jako`` with an adjective and no noun before the next stop (a verb, an unlabelled token, or the sixth token on) is prepadjp unless an object or subject
+    stands at the stop, otherwise prepnp. Kinds up to each place are summed once, so a stretch is the difference of two sums."""
+    n = len(words)
+    top = [own[0][0] if own else "_" for own in labels]
+    stops = [i for i in range(n) if top[i] == "_" or words[i].pos in VERB_POS]
+    nouns, adjectives = (np.concatenate([[0], np.cumsum([w.ctag.startswith(kind) for w in words])]) for kind in ("subst", "adj"))
+    out = []
+    for i, own in enumerate(labels):
+        if words[i].base != "jako" or not _open(own):
+            out.append(own)
+            continue
+        later = bisect.bisect_right(stops, i)
+        end = min(stops[later] if later < len(stops) else n, i + JAKO_REACH + 1, n)
+        plain = adjectives[end] > adjectives[i + 1] and nouns[end] == nouns[i + 1] if end > i + 1 else False
+        out.append([("prepadjp(jako,str)" if plain and not (end < n and top[end] in JAKO_STOPPERS) else "prepnp(jako,str)", 1.0)])
+    return out
 
 
 def fill_nonch(words: list[Word], labels: list[list[Label]]) -> list[list[Label]]:

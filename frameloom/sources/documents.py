@@ -116,6 +116,7 @@ def _cleaned(text: str) -> str:
     return re.sub(r"[ \t\n]", "", text)
 
 
+#: Kinds of phrases by category of the node.
 _PHRASES = {
     "fno": lambda t, n: f"np({t.feature(n, 'przypadek')})",
     "fps": lambda t, n: "advp",

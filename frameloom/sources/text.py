@@ -21,6 +21,24 @@ def read_pp_attachment(spark: SparkSession, path: str) -> DataFrame:
     return last.select("verb", "noun", "prep", "case", "x.verb_p", "x.noun_p", "x.decision")
 
 
+def read_conll(spark: SparkSession, path: str, n_features: int | None = None) -> DataFrame:
+    """Sentences of a column file (O-103), a row each: ``file``, ``rows``, an array over the tokens of (``columns``, ``label``, ``labels``).
+
+    Blank lines part sentences and so are the record separator: a file of any size is split. Lines that begin with ``# `` and hold no tab are comments.
+    ``label`` is the last column. With ``n_features``, ``labels`` holds all columns after so many features, as taggers write that
+    give every label with its probability (``label/probability``); else it is null. Empty files give no rows."""
+    text = spark.read.text(path, lineSep="\n\n").select(F.col("_metadata.file_path").alias("file"), F.split("value", "\r?\n").alias("lines"))
+    kept = F.filter("lines", lambda x: (F.trim(x) != "") & ~(F.ltrim(x).startswith("# ") & ~F.contains(x, F.lit("\t"))))
+    labels = lambda c: F.slice(c, n_features + 1, F.greatest(F.size(c) - n_features, F.lit(0))) if n_features is not None else F.lit(None).cast("array<string>")
+    token = lambda c: F.struct(c.alias("columns"), F.element_at(c, -1).alias("label"), labels(c).alias("labels"))
+    return text.select("file", F.transform(kept, lambda x: token(F.split(x, "\t"))).alias("rows")).where("size(rows) > 0")
+
+
+def labels_with_probabilities(labels):
+    """``label/probability`` texts as structs; the probability follows the last slash."""
+    return F.transform(labels, lambda x: F.struct(F.regexp_extract(x, "^(.*)/[^/]*$", 1).alias("label"), F.regexp_extract(x, "/([^/]*)$", 1).try_cast("double").alias("prob")))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Trimmed lines that aren't empty (O-21): ``value``."""
     return spark.read.text(path).select(F.trim(F.regexp_replace("value", "﻿", "")).alias("value")).where("value <> ''")
