@@ -66,6 +66,37 @@ def max_frames(cases: DataFrame, frames: DataFrame) -> DataFrame:
     return best.where("n_matched > 0 and frame_id = other").drop("other")
 
 
+def passing_frames(cases: DataFrame, frames: DataFrame) -> DataFrame:
+    """Candidates of every case that pass the filters (O-120): ``frame_id`` and ``met``, the sorted set of labels with a slot.
+
+    A frame with lexical slots passes only if one of these is matched, one with infinitive slots likewise."""
+    keys = ["predicate", "aspect", "has_sie", "labels"]
+    lexical = F.contains("realization", F.lit("lex")) | F.contains("realization", F.lit("comprep"))
+    slots = frame_slots(frames).groupBy("frame_id", "slot").agg(F.max(lexical).alias("lex"), F.max(F.col("realization").startswith("infp")).alias("inf"))
+    whole = slots.groupBy("frame_id").agg(F.max("lex").alias("has_lex"), F.max("inf").alias("has_inf"))
+    yes = lambda c: F.coalesce(F.max(c), F.lit(False))
+    per = matched_slots(cases, frames).join(slots, ["frame_id", "slot"], "left").groupBy(*keys, "frame_id").agg(F.array_sort(F.collect_set(F.when(F.col("slot").isNotNull(), F.col("label")))).alias("met"), yes("lex").alias("lex"), yes("inf").alias("inf"))
+    admitted = per.join(whole, "frame_id", "left").where("(has_lex is null or not has_lex or lex) and (has_inf is null or not has_inf or inf)")
+    return admitted.select(*keys, "frame_id", "met")
+
+
+def growing_frames(cases: DataFrame, frames: DataFrame) -> DataFrame:
+    """The frame of every case by a scan over its passing candidates in order of their ids, for a growing set of met labels (O-117): a larger set takes
+    over, an equal or unrelated one leaves no frame until a larger one comes. No row where none is left."""
+    keys = ["predicate", "aspect", "has_sie", "labels"]
+    listed = passing_frames(cases, frames).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("frame_id", "met"))).alias("scan"))
+    nothing = F.struct(F.lit(None).cast("bigint").alias("frame_id"), F.array().cast("array<string>").alias("seen"))
+
+    def step(state, x):
+        new, lost = F.size(F.array_except(x["met"], state["seen"])), F.size(F.array_except(state["seen"], x["met"]))
+        grows, passed_over = (lost == 0) & (new > 0), (F.size(state["seen"]) == 0) | ((new == 0) & (lost > 0))
+        frame = F.when(grows, x["frame_id"]).when(passed_over, state["frame_id"])
+        return F.struct(frame.alias("frame_id"), F.when(grows, x["met"]).otherwise(state["seen"]).alias("seen"))
+
+    chosen = listed.withColumn("last", F.aggregate("scan", nothing, step))
+    return chosen.select(*keys, "last.frame_id", F.size("last.seen").cast("bigint").alias("n_met")).where("frame_id is not null")
+
+
 def frame_swappers(frames: DataFrame) -> DataFrame:
     """Predicates that have all frame bodies of another one (O-55): relational division by counting, self left out.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from frameloom.functions import labels as L
 from frameloom.functions.attachment import AUX_BARRIERS, AUXILIARIES, COORDINATORS
-from frameloom.functions.labeling import NONCH
+from frameloom.functions.labeling import JAKO_REACH, JAKO_STOPPERS, NONCH
 from frameloom.functions.slots import QUESTION_WORDS
 from frameloom.operators.corpus import global_index
 
@@ -102,6 +102,21 @@ def fillers(tokens: DataFrame) -> DataFrame:
     return rows.select("sent_id", "word_no", F.explode(F.array_compact("added")).alias("added"))
 
 
+def jako_fillers(tokens: DataFrame) -> DataFrame:
+    """Label of every unlabelled ``jako`` (O-106): prepadjp where, before the next verb, unlabelled token or sixth token, there is an adjective and no noun, and no
+    subject or object stands there; else prepnp. A window of six leads; no task looks beyond a sentence."""
+    ahead = lambda c, i: F.lead(c, i).over(_order())
+    places = range(1, JAKO_REACH + 1)
+    t = tokens.withColumn("__stop", L.is_verb(F.col("ctag")) | F.col("label").isNull()).withColumn("__next", F.array(*[F.struct(_yes(ahead("__stop", i)).alias("stop"), ahead("word_no", i).isNull().alias("end"), ahead("ctag", i).alias("ctag"), ahead("label", i).alias("label")) for i in range(1, JAKO_REACH + 2)]))
+    at = lambda i: F.col("__next")[i - 1]
+    stop = F.coalesce(*[F.when(at(i)["stop"] | at(i)["end"], i) for i in places], F.lit(JAKO_REACH + 1))
+    within = F.slice("__next", F.lit(1), F.col("__to") - 1)
+    some = lambda kind: F.exists(within, lambda x: _yes(x["ctag"].startswith(kind)))
+    stopper = _in(F.element_at("__next", F.col("__to"))["label"], JAKO_STOPPERS)
+    rows = t.withColumn("__to", stop).where((F.col("base") == "jako") & F.col("label").isNull())
+    return rows.select("sent_id", "word_no", F.when(some("adj") & ~some("subst") & ~stopper, "prepadjp(jako,str)").otherwise("prepnp(jako,str)").alias("added"))
+
+
 def runs(tokens: DataFrame, value: Column) -> DataFrame:
     """Runs of equal values within each sentence (O-133): start and length, by a change flag summed up."""
     t = tokens.withColumn("__v", F.coalesce(value, F.lit("")))

@@ -237,6 +237,37 @@ def o117_max_unique(spark, d):
     return cases.join(best, ["predicate", "aspect", "has_sie", "labels"]).select("sent_id", "predicate_no", "frame_id", "n_matched", "n_candidates")
 
 
+_SAME = lambda a, b: f"{a}.predicate = {b}.predicate and {a}.aspect = {b}.aspect and {a}.has_sie = {b}.has_sie and {a}.labels = {b}.labels"
+PASS = f"""{OCC}, {FRAMES}, {CAND}, {SLOTS}, {CASE}, {MATCH},
+    sfl as (select frame_id, slot, bool_or(contains(realization, 'lex') or contains(realization, 'comprep')) as lex, bool_or(starts_with(realization, 'infp')) as inf from slo group by 1, 2),
+    ffl as (select frame_id, bool_or(lex) as has_lex, bool_or(inf) as has_inf from sfl group by 1),
+    met as (select m.predicate, m.aspect, m.has_sie, m.labels, m.frame_id, list_sort(list_distinct(list(m.label) filter (m.slot is not null))) as met, coalesce(bool_or(s.lex), false) as lex, coalesce(bool_or(s.inf), false) as inf
+            from mat m left join sfl s on s.frame_id = m.frame_id and s.slot = m.slot group by 1, 2, 3, 4, 5),
+    pas as (select m.predicate, m.aspect, m.has_sie, m.labels, m.frame_id, coalesce(met, []) as met from met m left join ffl f on f.frame_id = m.frame_id where (not coalesce(has_lex, false) or lex) and (not coalesce(has_inf, false) or inf))"""
+
+
+@query(f"with {PASS} select oc.sent_id, oc.predicate_no, p.frame_id, len(met)::bigint as n_met from pas p join oc on {_SAME('oc', 'p')}")
+def o120_passing_frames(spark, d):
+    """Every candidate frame that passes the filters, for each occurrence."""
+    cases = V.occurrence_cases(C.occurrences(t := _tokens(spark, d)), C.arguments(t)).where("predicate is not null")
+    return cases.join(V.passing_frames(cases, _frames(spark, d)), ["predicate", "aspect", "has_sie", "labels"]).select("sent_id", "predicate_no", "frame_id", F.size("met").cast("bigint").alias("n_met"))
+
+
+@query(f"""with recursive {PASS},
+    num as (select *, row_number() over (partition by predicate, aspect, has_sie, labels order by frame_id) as r from pas),
+    step as (select distinct predicate, aspect, has_sie, labels, 0::bigint as r, null::bigint as frame_id, []::varchar[] as seen from num
+             union all select n.predicate, n.aspect, n.has_sie, n.labels, n.r,
+                    case when list_has_all(met, seen) and len(met) > len(seen) then n.frame_id when len(seen) = 0 or (list_has_all(seen, met) and len(seen) > len(met)) then s.frame_id end,
+                    case when list_has_all(met, seen) and len(met) > len(seen) then met else seen end
+             from step s join num n on {_SAME('s', 'n')} and n.r = s.r + 1),
+    fin as (select * from step qualify row_number() over (partition by predicate, aspect, has_sie, labels order by r desc) = 1)
+    select oc.sent_id, oc.predicate_no, f.frame_id, len(seen)::bigint as n_met from fin f join oc on {_SAME('oc', 'f')} where f.frame_id is not null""")
+def o117_growing_set(spark, d):
+    """Frame per occurrence by the scan for a growing set of met labels."""
+    cases = V.occurrence_cases(C.occurrences(t := _tokens(spark, d)), C.arguments(t)).where("predicate is not null")
+    return cases.join(V.growing_frames(cases, _frames(spark, d)), ["predicate", "aspect", "has_sie", "labels"]).select("sent_id", "predicate_no", "frame_id", "n_met")
+
+
 @query(f"""with {OCC}, {FRAMES}, {CAND}, {SLOTS}, {CASE}, {MATCH},
     cnt as (select predicate, aspect, has_sie, labels, frame_id, count(slot) as n from mat group by all),
     vot as (select a.predicate, a.aspect, a.has_sie, a.labels, a.frame_id, count(*) filter (a.n > b.n) as wins from cnt a join cnt b on a.predicate = b.predicate and a.aspect = b.aspect and a.has_sie = b.has_sie and a.labels = b.labels and a.frame_id <> b.frame_id group by 1, 2, 3, 4, 5),
@@ -326,23 +357,62 @@ def _sr(spark, d):
     return C.arguments(t).join(occ, ["sent_id", "predicate_no"]).select("predicate", F.col("label").alias("slot"), F.col("base").alias("head"), "sent_id", "word_no")
 
 
-@query(f"with {SR} select predicate || chr(9) || slot || chr(9) || replace(replace(head, chr(9), ' '), chr(10), ' ') as line from sr where head is not null")
-def o24_sr_corpus_lines(spark, d):
-    clean = lambda c: F.translate(c, "\t\n", "  ")
-    return _sr(spark, d).where("head is not null").select(F.concat_ws("\t", clean("predicate"), clean("slot"), clean("head")).alias("line"))
+_CHOSEN = f"""{OCC}, {FRAMES}, {CAND}, {SLOTS}, {CASE}, {MATCH},
+    cnt as (select predicate, aspect, has_sie, labels, frame_id, count(slot) as n_matched from mat group by all),
+    best as (select *, row_number() over (partition by predicate, aspect, has_sie, labels order by n_matched desc, frame_id) as r, count(*) over (partition by predicate, aspect, has_sie, labels, n_matched) as same from cnt),
+    cho as (select oc.*, b.frame_id from best b join oc on {_SAME('oc', 'b')} where r = 1 and same = 1 and n_matched > 0),
+    txt as (select c.sent_id, c.predicate_no, c.frame_id, m.label, f.arguments[m.slot + 1].text as slot_text from cho c join mat m on {_SAME('m', 'c')} and m.frame_id = c.frame_id and m.slot is not null join fr f on f.frame_id = c.frame_id)"""
+_PLAIN = lambda c: f"translate(coalesce({c}, ''), chr(9) || chr(10), '  ')"
+
+
+def _chosen(spark, d, t: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Occurrences with the frame of the single largest number of matches and its text, and the text of the slot of each of their labels."""
+    frames = _frames(spark, d)
+    cases = V.occurrence_cases(C.occurrences(t), C.arguments(t)).where("predicate is not null")
+    keys = ["predicate", "aspect", "has_sie", "labels"]
+    best = V.max_frames(cases, frames).select(*keys, "frame_id")
+    texts = frames.select("frame_id", "frame_text", F.col("arguments.text").alias("texts"))
+    chosen = cases.join(best, keys).join(texts, "frame_id")
+    slots = V.matched_slots(cases, frames).where("slot is not null").select(*keys, "frame_id", "label", "slot")
+    matched = chosen.join(slots, [*keys, "frame_id"]).select("sent_id", "predicate_no", "label", F.get("texts", F.col("slot")).alias("slot_text"))
+    return chosen.select("sent_id", "predicate_no", "frame_text"), matched
+
 
+def _plain(c):
+    return F.translate(F.coalesce(c, F.lit("")), "\t\n", "  ")
 
-@query(f"""with {TOK}, p as (select distinct sent_id, predicate_no from tok where label is not null and predicate_no is not null)
-    select p.sent_id, p.predicate_no, t.word_no, concat_ws(chr(9), coalesce(nullif(orth, ''), '_'), coalesce(nullif(base, ''), '_'), coalesce(nullif(ctag, ''), '_'),
-      case when t.predicate_no = p.predicate_no then coalesce(label, '_') else '_' end, case when t.word_no = p.predicate_no then 'predicate' else '_' end) as line from p join tok t on t.sent_id = p.sent_id""")
+
+@query(f"""with {_CHOSEN}, hd as (select sent_id, syntactic_head as word_no, min(semantic_head) as head_no from nkjp_groups where syntactic_head is not null and semantic_head is not null group by 1, 2)
+    select concat_ws(chr(9), {_PLAIN('f.frame_text')}, {_PLAIN('p.orth')}, {_PLAIN('h.base')}, {_PLAIN('h.orth')}, {_PLAIN('x.slot_text')}) as line
+    from txt x join arg a on a.sent_id = x.sent_id and a.predicate_no = x.predicate_no and a.label = x.label join fr f on f.frame_id = x.frame_id join tok p on p.sent_id = x.sent_id and p.word_no = x.predicate_no
+    left join hd on hd.sent_id = a.sent_id and hd.word_no = a.word_no join tok h on h.sent_id = a.sent_id and h.word_no = coalesce(hd.head_no, a.word_no)""")
+def o24_sr_corpus_lines(spark, d):
+    """Lines of frame text, predicate, lemma and form of the semantic head (of the phrase group where one is known), and slot, for every argument that the chosen frame has a slot for."""
+    t = _tokens(spark, d)
+    chosen, matched = _chosen(spark, d, t)
+    groups = table(spark, d, "nkjp_groups").where("syntactic_head is not null and semantic_head is not null").groupBy("sent_id", F.col("syntactic_head").alias("word_no")).agg(F.min("semantic_head").alias("head_no"))
+    args = C.arguments(t).select("sent_id", "word_no", "label", "predicate_no").join(matched, ["sent_id", "predicate_no", "label"]).join(groups, ["sent_id", "word_no"], "left")
+    rows = args.withColumn("head_no", F.coalesce("head_no", "word_no")).join(t.select("sent_id", F.col("word_no").alias("head_no"), F.col("orth").alias("head_orth"), F.col("base").alias("head_base")), ["sent_id", "head_no"])
+    rows = rows.join(chosen, ["sent_id", "predicate_no"]).join(t.select("sent_id", F.col("word_no").alias("predicate_no"), "orth"), ["sent_id", "predicate_no"])
+    return rows.select(F.concat_ws("\t", *[_plain(F.col(c)) for c in ("frame_text", "orth", "head_base", "head_orth", "slot_text")]).alias("line"))
+
+
+@query(f"""with {_CHOSEN}
+    select c.sent_id, c.predicate_no, t.word_no, concat_ws(chr(9), coalesce(nullif(orth, ''), '_'), coalesce(nullif(base, ''), '_'), coalesce(nullif(t.ctag, ''), '_'), case when t.predicate_no = c.predicate_no then coalesce(t.label, '_') else '_' end,
+      coalesce(x.slot_text, '_'), case when t.word_no = c.predicate_no then 'predicate' else '_' end, case when t.word_no = c.predicate_no then coalesce(f.frame_text, '_') else '_' end) as line
+    from cho c join tok t on t.sent_id = c.sent_id join fr f on f.frame_id = c.frame_id left join txt x on x.sent_id = c.sent_id and x.predicate_no = c.predicate_no and t.predicate_no = c.predicate_no and x.label = t.label""")
 def o25_conll_tokens(spark, d):
-    """CoNLL lines: one copy of the sentence per predicate."""
+    """CoNLL lines of seven columns (form, lemma, tag, label, slot, predicate mark, frame): one copy of the sentence per occurrence with a chosen frame."""
     t = _tokens(spark, d)
-    preds = C.arguments(t).where("predicate_no >= 0").select("sent_id", F.col("predicate_no").alias("p")).distinct()
-    field = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("_"))
+    chosen, matched = _chosen(spark, d, t)
+    field = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("_"))
+    slots = matched.select("sent_id", F.col("predicate_no").alias("p"), "label", "slot_text", F.col("predicate_no").alias("own_no"))
+    rows = chosen.select("sent_id", F.col("predicate_no").alias("p"), "frame_text").join(t, "sent_id")
+    rows = rows.withColumn("own_no", F.when(F.col("predicate_no") == F.col("p"), F.col("p"))).join(slots, ["sent_id", "p", "own_no", "label"], "left")
     mine = F.when(F.col("predicate_no") == F.col("p"), F.coalesce("label", F.lit("_"))).otherwise("_")
-    line = F.concat_ws("\t", field("orth"), field("base"), field("ctag"), mine, F.when(F.col("word_no") == F.col("p"), "predicate").otherwise("_"))
-    return preds.join(t, "sent_id").select("sent_id", F.col("p").alias("predicate_no"), "word_no", line.alias("line"))
+    at = F.col("word_no") == F.col("p")
+    line = F.concat_ws("\t", field("orth"), field("base"), field("ctag"), mine, F.coalesce("slot_text", F.lit("_")), F.when(at, "predicate").otherwise("_"), F.when(at, F.coalesce("frame_text", F.lit("_"))).otherwise("_"))
+    return rows.select("sent_id", F.col("p").alias("predicate_no"), "word_no", line.alias("line"))
 
 
 @query(f"with {SR} select predicate, count(*) as n from sr group by 1")
@@ -614,14 +684,18 @@ def _occurrence_rows(spark, d):
     return A.occurrence_rows(t, C.occurrences(t), args, C.extended_arguments(t).select("sent_id", "predicate_no", "word_no", "label"))
 
 
+#: Stages of the cascade, in the order and with the thresholds that must match, without those that need trained scorers.
+CASCADE = "max:false,lex:true,maxNoXP:true,bayes:true:0.1:20.0:false,negbayes:true:0.4:50.0:false,cost,vec:random:0.1,vote:1.5:bayes:true:0.2:50.0:false@1.0;max:true@0.8;maxNoXP:false@0.7"
+
+
 @query()
 def o130_frame_choices(spark, d):
-    """Frames by a cascade: maximal matching first; where it abstains, Bayes and a vote with counts from the first pass."""
-    rows, frames = cut(_occurrence_rows(spark, d)), cut(_frames(spark, d))
-    first = A.choose_frames(rows, frames, "max:false,maxNoXP:false").where("frame_text is not null")
-    counts = first.groupBy("frame_text").agg(F.count(F.lit(1)).alias("n"))
-    spec = "max:false,lex:true,maxNoXP:true,bayes:true:0.1:20.0:false,negbayes:true:0.4:50.0:false,cost,vec:random:0.1,vote:1.5:bayes:true:0.2:50.0:false@1.0;max:true@0.8;maxNoXP:false@0.7"
-    return A.choose_frames(rows, frames, spec, counts)
+    """The frame of every occurrence by a cascade, null where all stages abstain. Bayes counts the frames and matched slots of the occurrences that maximal matching decides."""
+    t = _tokens(spark, d)
+    chosen, matched = _chosen(spark, d, t)
+    counts = chosen.groupBy("frame_text").agg(F.count(F.lit(1)).alias("n"))
+    slots = matched.join(chosen, ["sent_id", "predicate_no"]).groupBy("frame_text", F.col("slot_text").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    return A.choose_frames(_occurrence_rows(spark, d), _frames(spark, d), CASCADE, counts, slots)
 
 
 @query()

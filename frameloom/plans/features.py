@@ -41,6 +41,16 @@ _PREDS = f"""{TOK}, v as (select *, {VERB} as verb, row_number() over w - 1 as i
       or (ix > 2 and coalesce(lag(verb, 2) over w, false) and not coalesce(lag(base) over w in {_in(AUX_BARRIERS)}, false)) or (coalesce(lead(verb, 2) over w, false) and not coalesce(lead(base) over w in {_in(AUX_BARRIERS)}, false)))) as is_predicate from v {W})"""
 
 
+@query(f"""with {TOK}, n as (select *, row_number() over (partition by sent_id order by word_no) as r, {VERB} or label is null as stop from tok),
+    j as (select a.sent_id, a.word_no, a.r, least(a.r + 6, coalesce(min(b.r) filter (b.stop), a.r + 6)) as to_ from n a left join n b on b.sent_id = a.sent_id and b.r between a.r + 1 and a.r + 5 where a.base = 'jako' and a.label is null group by 1, 2, 3),
+    x as (select j.sent_id, j.word_no, coalesce(bool_or(starts_with(b.ctag, 'adj')) filter (b.r < to_), false) as adj, coalesce(bool_or(starts_with(b.ctag, 'subst')) filter (b.r < to_), false) as noun,
+                 coalesce(bool_or(b.label in ('subj', 'np(mian)', 'np(bier)', 'np(dop)')) filter (b.r = to_), false) as stopper from j left join n b on b.sent_id = j.sent_id and b.r between j.r + 1 and to_ group by 1, 2)
+    select sent_id, word_no, case when adj and not noun and not stopper then 'prepadjp(jako,str)' else 'prepnp(jako,str)' end as added from x""")
+def o106_jako(spark, d):
+    """Labels of the unlabelled ``jako``."""
+    return K.jako_fillers(_tokens(spark, d))
+
+
 @query(f"with {_PREDS} select sent_id, word_no, base from p where is_predicate")
 def o90_predicates(spark, d):
     return K.mark_predicates(_tokens(spark, d)).where("is_predicate").select("sent_id", "word_no", "base")
