@@ -182,7 +182,7 @@ class ChainCRF:
 
     @classmethod
     def train(cls, sentences: list[tuple[list[list[str]], list[str]]], template: str, min_freq: int = 1, cost: float = 1.0, rounds: int = 20, rate: float = 0.5, penalty: str = "l1", seed: int = 1) -> ChainCRF:
-        """``sentences``: feature rows and gold labels. ``cost`` is the inverse strength of the penalty."""
+        """``sentences``: feature rows and gold labels. Minimised is the penalty plus ``cost`` times the loss: each round takes its step over ``cost`` off the weights (L1), or that share of them (L2)."""
         shape = Template(template)
         labels = sorted({x for _, gold in sentences for x in gold})
         counts: dict[str, int] = {}
@@ -194,7 +194,7 @@ class ChainCRF:
         made = cls(shape, labels, index, np.zeros((len(index), len(labels))), np.zeros((len(labels), len(labels))))
         gold = [np.array([labels.index(x) for x in g]) for _, g in sentences]
         data = [[np.array([index[f] for f in fs if f in index], int) for fs in feats] for feats in coded]
-        rng, shrink = np.random.default_rng(seed), rate / max(1.0, cost) * 1e-4
+        rng = np.random.default_rng(seed)
         for r in range(rounds):
             step = rate / (1 + 0.2 * r)
             for s in rng.permutation(len(data)):
@@ -209,12 +209,19 @@ class ChainCRF:
                     g = np.zeros_like(made.pairs)
                     np.add.at(g, (gold[s][:-1], gold[s][1:]), 1)
                     made.pairs += step * (g - pp)
+            shrink = step / cost
             if penalty == "l1":
                 made.weights = np.sign(made.weights) * np.maximum(np.abs(made.weights) - shrink, 0)
             else:
-                made.weights *= 1 - shrink
+                made.weights *= 1 - min(1.0, shrink)
         return made
 
+    def compact(self) -> ChainCRF:
+        """The same model without features of no weight, in single precision."""
+        kept = np.flatnonzero(self.weights.any(1))
+        number = {old: new for new, old in enumerate(kept.tolist())}
+        return ChainCRF(self.template, self.labels, {f: number[i] for f, i in self.index.items() if i in number}, self.weights[kept].astype(np.float32), self.pairs)
+
     def _marginals(self, scores: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         n, k = len(scores), len(self.labels)
         lse = lambda x, axis: (m := x.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis))

@@ -79,16 +79,47 @@ def governing_noun(tokens: DataFrame) -> DataFrame:
     return tokens.select("sent_id", "word_no", "ctag", F.coalesce(*options).alias("noun_no")).where(_yes(F.col("ctag").startswith("prep"))).select("sent_id", "word_no", "noun_no")
 
 
+def chunk_heads(tokens: DataFrame, groups: DataFrame) -> DataFrame:
+    """Adds ``is_head``: whether the token is the syntactic head of a phrase group (column 5 of the labeller's features)."""
+    heads = groups.where("syntactic_head is not null").select("sent_id", F.col("syntactic_head").alias("word_no"), F.lit(True).alias("is_head")).distinct()
+    return tokens.join(heads, ["sent_id", "word_no"], "left").withColumn("is_head", _yes(F.col("is_head")))
+
+
+def _nearest_by_distance(t: DataFrame, *columns: str) -> Column:
+    """Of the nearest predicate (``is_predicate``; of two as near the right one) a struct of ``columns``."""
+    flag = F.when(F.col("is_predicate"), F.struct("word_no", *columns))
+    left = F.last(flag, ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, -1))
+    right = F.first(flag, ignorenulls=True).over(_order().rowsBetween(1, Window.unboundedFollowing))
+    return F.when(left.isNull() | (right["word_no"] - F.col("word_no") <= F.col("word_no") - left["word_no"]), right).otherwise(left)
+
+
+def preposition_keys(tokens: DataFrame) -> DataFrame:
+    """Prepositions with what attachment is looked up by: lemmas of the nearest predicate, of the governing noun (O-89) and of the preposition, its case, and whether the corpus attaches it to that predicate."""
+    t = mark_predicates(tokens)
+    preps = t.withColumn("near", _nearest_by_distance(t, "base")).where(_yes(F.col("ctag").startswith("prep")) & F.col("near").isNotNull())
+    preps = preps.select("sent_id", "word_no", F.col("near.base").alias("verb"), F.col("base").alias("prep"), F.coalesce(L.tag_part(F.col("ctag"), 1), F.lit("")).alias("case_"), (F.col("predicate_no") == F.col("near.word_no")).alias("to_verb"))
+    nouns = governing_noun(tokens).where("noun_no is not null").join(tokens.select("sent_id", F.col("word_no").alias("noun_no"), F.col("base").alias("noun")), ["sent_id", "noun_no"])
+    return preps.join(nouns.select("sent_id", "word_no", "noun"), ["sent_id", "word_no"]).where("verb is not null and noun is not null and prep is not null")
+
+
+def attachment_statistics(keys: DataFrame) -> DataFrame:
+    """The table of O-08 from a corpus: per (verb, noun, prep, case_) the shares attached to verb and noun, and the decision (1 verb, 2 noun)."""
+    per = keys.where("to_verb is not null").groupBy("verb", "noun", "prep", "case_").agg(F.avg(F.col("to_verb").cast("int")).alias("verb_p"))
+    return per.select("verb", "noun", "prep", "case_", "verb_p", (1 - F.col("verb_p")).alias("noun_p"), F.when(F.col("verb_p") >= 0.5, 1).otherwise(2).alias("decision"))
+
+
+def pp_attachment_noun(keys: DataFrame, statistics: DataFrame, least: float = 0.01) -> DataFrame:
+    """(sent_id, word_no, pp): ``noun`` where the statistics attach the preposition to the noun with at least that probability, else ``_`` (O-86)."""
+    found = keys.join(statistics, ["verb", "noun", "prep", "case_"], "left")
+    return found.select("sent_id", "word_no", F.when(_yes((F.col("decision") == 2) & (F.col("noun_p") >= least)), "noun").otherwise("_").alias("pp"))
+
+
 def number_match(tokens: DataFrame) -> DataFrame:
     """Number (second part of the tag) that a token shares with the nearest predicate, else ``_`` (O-85)."""
-    flag = F.when(mark := F.col("is_predicate"), F.struct("word_no", "ctag"))
     t = mark_predicates(tokens)
-    left = F.last(flag, ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, -1))
-    right = F.first(flag, ignorenulls=True).over(_order().rowsBetween(1, Window.unboundedFollowing))
-    x = t.select("sent_id", "word_no", "ctag", left.alias("l"), right.alias("r"), mark)
-    near = F.when(F.col("l").isNull() | (F.col("r.word_no") - F.col("word_no") <= F.col("word_no") - F.col("l.word_no")), F.col("r.ctag")).otherwise(F.col("l.ctag"))
+    near = _nearest_by_distance(t, "ctag")["ctag"]
     own, theirs = L.tag_part(F.col("ctag"), 1), L.tag_part(near, 1)
-    return x.select("sent_id", "word_no", F.when(own == theirs, own).otherwise("_").alias("number_match"))
+    return t.select("sent_id", "word_no", F.when(own == theirs, own).otherwise("_").alias("number_match"))
 
 
 def fillers(tokens: DataFrame) -> DataFrame:

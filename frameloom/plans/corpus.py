@@ -13,6 +13,7 @@ from frameloom.operators import frames as V
 from frameloom.operators import models as M
 from frameloom.operators import search as X
 from frameloom.operators import statistics as S
+from frameloom.operators import tokens as K
 from frameloom.operators.hierarchy import root_levels
 from frameloom.plans.general import synset_edges
 from frameloom.runtime import cut, table, tidy
@@ -671,10 +672,25 @@ def o101_attached_arguments(spark, d):
     return A.attach_arguments(s, ["production"], _sie_verbs(spark, d)).drop("rules", "gold")
 
 
+def _labelled_sentences(spark, d) -> DataFrame:
+    """Sentences with all that the labeller looks at."""
+    t = K.chunk_heads(_tokens(spark, d), table(spark, d, "nkjp_groups"))
+    keys = K.preposition_keys(_tokens(spark, d))
+    return A.nested_sentences(t.join(K.pp_attachment_noun(keys, K.attachment_statistics(keys)), ["sent_id", "word_no"], "left"))
+
+
+@query()
+def o102_label_folds(spark, d):
+    """Precision and recall of the labeller on ten folds of the sentences."""
+    s = _labelled_sentences(spark, d)
+    ids = s.select("sent_id").withColumn("draw", F.xxhash64("sent_id"))
+    return A.label_folds(cut(s.join(C.folds(ids, ["draw", "sent_id"], 10).select("sent_id", "fold"), "sent_id")))
+
+
 @query()
 def o104_extracted_arguments(spark, d):
     """Arguments labelled by a CRF, attached and headed, over all sentences."""
-    s = A.with_dictionary(A.nested_sentences(_tokens(spark, d)), _frames(spark, d))
+    s = A.with_dictionary(cut(_labelled_sentences(spark, d)), _frames(spark, d))
     return A.extract_arguments(s, A.train_labeller(s), sie_verbs=_sie_verbs(spark, d))
 
 

@@ -83,12 +83,35 @@ def _pass(kinds, gen):
     return "case " + " ".join(out) + " end"
 
 
-@query(f"""with {TOK}, x as (select sent_id, word_no, ctag, coalesce({_pass(('subst',), False)}, {_pass(('subst', 'ppron', 'depr'), False)}, {_pass(('subst',), True)}, {_pass(('subst', 'ppron', 'depr'), True)}) as noun_no from tok {W})
-    select sent_id, word_no, noun_no from x where starts_with(coalesce(ctag, ''), 'prep')""")
+_GOVERNING = f"""gov as (select sent_id, word_no, noun_no from (select sent_id, word_no, ctag, coalesce({_pass(('subst',), False)}, {_pass(('subst', 'ppron', 'depr'), False)}, {_pass(('subst',), True)}, {_pass(('subst', 'ppron', 'depr'), True)}) as noun_no from tok {W})
+    where starts_with(coalesce(ctag, ''), 'prep'))"""
+
+
+@query(f"with {TOK}, {_GOVERNING} select sent_id, word_no, noun_no from gov")
 def o89_governing_noun(spark, d):
     return K.governing_noun(_tokens(spark, d))
 
 
+@query(f"""with {TOK}, h as (select distinct sent_id, syntactic_head as word_no from nkjp_groups where syntactic_head is not null)
+    select tok.sent_id, tok.word_no, h.word_no is not null as is_head from tok left join h on h.sent_id = tok.sent_id and h.word_no = tok.word_no""")
+def o84_chunk_heads(spark, d):
+    """Column 5 of the labeller's features: whether the token heads a phrase group."""
+    return K.chunk_heads(_tokens(spark, d), table(spark, d, "nkjp_groups")).select("sent_id", "word_no", "is_head")
+
+
+@query(f"""with {_PREDS}, {_GOVERNING}, n as (select *, last_value(case when is_predicate then word_no end ignore nulls) over (partition by sent_id order by word_no rows between unbounded preceding and 1 preceding) as l,
+      first_value(case when is_predicate then word_no end ignore nulls) over (partition by sent_id order by word_no rows between 1 following and unbounded following) as r from p),
+    k as (select n.sent_id, n.word_no, v.base as verb, m.base as noun, n.base as prep, case when len(string_split(n.ctag, ':')) > 1 then string_split(n.ctag, ':')[2] else '' end as case_, n.predicate_no = v.word_no as to_verb
+          from n join tok v on v.sent_id = n.sent_id and v.word_no = case when l is null or r - n.word_no <= n.word_no - l then r else l end
+          join gov on gov.sent_id = n.sent_id and gov.word_no = n.word_no join tok m on m.sent_id = n.sent_id and m.word_no = gov.noun_no where v.base is not null and m.base is not null and n.base is not null),
+    st as (select verb, noun, prep, case_, avg(to_verb::int) as verb_p from k where to_verb is not null group by 1, 2, 3, 4)
+    select sent_id, word_no, case when verb_p < 0.5 and 1 - verb_p >= 0.01 then 'noun' else '_' end as pp from k left join st using (verb, noun, prep, case_)""")
+def o86_pp_attachment_noun(spark, d):
+    """Column 7 of the labeller's features, with the attachment table made from the corpus."""
+    keys = K.preposition_keys(_tokens(spark, d))
+    return K.pp_attachment_noun(keys, K.attachment_statistics(keys))
+
+
 @query(f"""with {_PREDS}, n as (select sent_id, word_no, ctag, last_value(case when is_predicate then word_no end ignore nulls) over (partition by sent_id order by word_no rows between unbounded preceding and 1 preceding) as l,
       first_value(case when is_predicate then word_no end ignore nulls) over (partition by sent_id order by word_no rows between 1 following and unbounded following) as r from p),
     m as (select n.*, t.ctag as other from n left join tok t on t.sent_id = n.sent_id and t.word_no = case when l is null or r - n.word_no <= n.word_no - l then r else l end)

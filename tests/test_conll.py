@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from frameloom.functions import labeling as B
 from frameloom.functions.attachment import Word
+from frameloom.operators import tokens as K
 from frameloom.sources.text import labels_with_probabilities, read_conll
 
 
@@ -41,3 +42,17 @@ def test_jako_against_a_scan():
             kinds = [words[j].pos for j in stretch]
             adj = "adj" in kinds and "subst" not in kinds and (stop >= n or tops[stop] not in ("subj", "np(bier)"))
             assert got[i] == [("prepadjp(jako,str)" if adj else "prepnp(jako,str)", 1.0)]
+
+
+def test_jako_columns(spark):
+    """The window form gives what the filler gives where labels are sure or absent."""
+    rng, rows, want = random.Random(9), [], set()
+    for sid in range(120):
+        words = [Word("x", "jako" if rng.random() < 0.3 else "y", rng.choice(["subst:sg", "adj:sg", "fin:sg", "adv", "prep:gen"])) for _ in range(rng.randrange(1, 11))]
+        tops = [None if rng.random() < 0.3 else rng.choice(["subj", "np(bier)", "advp"]) for _ in words]
+        rows += [(sid, 3 * i, w.orth, w.base, w.ctag, t, None) for i, (w, t) in enumerate(zip(words, tops))]
+        filled = B.fill_jako(words, [[(t or "_", 1.0)] for t in tops])
+        want |= {(sid, 3 * i, filled[i][0][0]) for i, w in enumerate(words) if w.base == "jako" and tops[i] is None}
+    tokens = spark.createDataFrame(rows, "sent_id long, word_no int, orth string, base string, ctag string, label string, predicate_no int")
+    got = {tuple(r) for r in K.jako_fillers(tokens).collect()}
+    assert got == want and {x[2] for x in want} == {"prepadjp(jako,str)", "prepnp(jako,str)"}

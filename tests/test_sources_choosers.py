@@ -263,5 +263,7 @@ def test_choose_frames_table(spark):
     frames = spark.createDataFrame([(i, "robić", "imperf", t, False) for i, t in enumerate((OBJ, DAT))], "frame_id long, predicate string, aspect string, frame_text string, has_refl boolean")
     counts = spark.createDataFrame([(OBJ, 3)], "frame_text string, n long")
     slots = spark.createDataFrame([(OBJ, "obj{np(str)}", 3)], "frame_text string, slot string, n long")
-    (r,) = A.choose_frames(rows, frames, "lex:true,max:false", counts, slots).collect()
-    assert (r["sent_id"], r["frame_text"], r["stage"], r["n_candidates"]) == (1, OBJ, 1, 2)
+    found = sorted(tuple(r[c] for c in ("sent_id", "frame_text", "stage", "n_candidates")) for r in A.choose_frames(rows, frames, "lex:true,max:false", counts, slots).collect())
+    assert found == [(1, OBJ, 1, 2), (2, None, 1, 0)]  # an occurrence without candidates comes out undecided
+    with pytest.raises(ValueError):
+        A.choose_frames(rows, frames, "max:false,vec:cos:0.1")
