@@ -82,17 +82,27 @@ class Forest:
         return cls([grow(rng.integers(0, len(x), len(x)), 0) for _ in range(trees)])
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        def descend(node, row):
-            while isinstance(node, tuple):
-                node = node[2] if row[node[0]] <= node[1] else node[3]
-            return node
+        """Mean over the trees; all rows go down a tree together, a share of them to each side."""
+        total = np.zeros(len(x))
+        for tree in self.trees:
+            todo = [(tree, np.arange(len(x)))]
+            while todo:
+                node, rows = todo.pop()
+                if not isinstance(node, tuple):
+                    total[rows] += node
+                elif len(rows):
+                    low = x[rows, node[0]] <= node[1]
+                    todo += [(node[2], rows[low]), (node[3], rows[~low])]
+        return total / len(self.trees)
 
-        return np.array([np.mean([descend(t, row) for t in self.trees]) for row in x])
 
+#: Rows that are scored in one group beside a copy of the model.
+SCORED_ROWS = 100_000
 
-def forest_scores(df: DataFrame, key: str, features: str, target: str, record: str, least: int = 50, trees: int = 25, buckets: int = 4) -> DataFrame:
+
+def forest_scores(df: DataFrame, key: str, features: str, target: str, record: str, least: int = 50, trees: int = 25, bucket_rows: int = SCORED_ROWS) -> DataFrame:
     """(key, record, prob): every row scored by its key's forest (O-137, O-138); keys with fewer than ``least`` rows of
-    either class have none. Models are trained from bounded rows, then each bucket of rows is scored beside its key's model."""
+    either class have none. Models are trained from bounded rows, then each bucket of about ``bucket_rows`` rows is scored beside its key's model."""
     kinds = {c: df.schema[c].dataType.simpleString() for c in (key, record)}
 
     def fit(table: pa.Table) -> pa.Table:
@@ -112,9 +122,10 @@ def forest_scores(df: DataFrame, key: str, features: str, target: str, record: s
             prob = pickle.loads(model["model"][0].as_py()).predict(np.array(part["x"].to_pylist(), float))
         return pa.table({"key": part["key"], "record": part["record"], "prob": pa.array(prob)})
 
-    # a model travels once per bucket of rows, not with every row; a hot key's rows are spread over all buckets
-    spread = rows.withColumn("bucket", F.pmod(F.xxhash64("record"), F.lit(buckets).cast("long")))
-    copies = models.withColumn("bucket", F.explode(F.array(*[F.lit(i).cast("long") for i in range(buckets)])))
+    # a model travels once per bucket of rows, not with every row; the more rows a key has, the more buckets
+    wide = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / bucket_rows).alias("buckets"))
+    copies = models.join(wide, "key").select("key", "model", F.explode(F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1)).alias("bucket"))
+    spread = rows.join(wide.where("buckets > 1"), "key", "left").withColumn("bucket", F.pmod(F.xxhash64("record"), F.coalesce("buckets", F.lit(1).cast("long")))).drop("buckets")
     n = task_count(df)
     scored = spread.repartition(n, "key", "bucket").groupBy("key", "bucket").cogroup(copies.repartition(n, "key", "bucket").groupBy("key", "bucket"))
     return scored.applyInArrow(score, f"key {kinds[key]}, record {kinds[record]}, prob double").withColumnsRenamed({"key": key, "record": record})

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from frameloom.operators.corpus import global_index
+
 
 def _ratio(a, b):
     return F.round(F.when(b != 0, a / b), 6)
@@ -42,19 +44,16 @@ def error_shares(df: DataFrame, key: str, ok: str, above: int) -> DataFrame:
     return per.where(F.col("n") > above).select(key, "n", "errors", _ratio(F.col("errors"), total).alias("error_share"))
 
 
-def _ranked_values(df: DataFrame, group: str, value: str) -> tuple[DataFrame, DataFrame]:
-    distinct = df.where(F.col(value).isNotNull()).select(group, value).distinct()
-    return distinct, distinct.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-
-
 def percentile_rows(df: DataFrame, group: str, value: str, percents: Iterable[int]) -> DataFrame:
     """(group, p, bound): of the group's sorted distinct values the one at place ``n * p / 100``, from 0 (O-77, O-78).
 
-    Values are ranked by a window, never gathered into an array."""
-    distinct, sizes = _ranked_values(df, group, value)
-    ranked = distinct.withColumn("__at", (F.row_number().over(Window.partitionBy(group).orderBy(value)) - 1).cast("long"))
-    places = sizes.select(group, F.explode(F.array(*[F.lit(int(p)) for p in percents])).alias("p"), "__n").withColumn("__at", F.floor(F.col("__n") * F.col("p") / 100))
-    return places.join(ranked, [group, "__at"]).select(group, "p", F.col(value).alias("bound"))
+    Values are numbered over range partitions of (group, value), so a group of any size is ranked by many tasks; a value's place in its group is its number less that of
+    the group's first. A null group is a group; null values don't count."""
+    distinct = df.where(F.col(value).isNotNull()).select(F.col(group).alias("__group"), F.col(value).alias("__value")).distinct()
+    ranked = global_index(distinct, ["__group", "__value"], "__at")
+    sizes = ranked.groupBy("__group").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    places = sizes.select(F.col("__group").alias("__g"), F.explode(F.array(*[F.lit(int(p)) for p in percents])).alias("p"), "__n", "__first").withColumn("__place", F.col("__first") + F.floor(F.col("__n") * F.col("p") / 100))
+    return places.join(ranked.select("__at", "__value"), F.col("__place") == F.col("__at")).select(F.col("__g").alias(group), "p", F.col("__value").alias("bound"))
 
 
 def percentile_bounds(df: DataFrame, group: str, value: str, percents: tuple[int, ...]) -> DataFrame:

@@ -618,27 +618,57 @@ def o122_bayes_choice(spark, d):
     return S.decide_by_gap(S.bayes_posterior(_sr(spark, d), "predicate", "slot"), "slot", "predicate", "posterior", 0.01, 1.5).select("slot", "predicate", F.round("posterior", 6).alias("posterior"))
 
 
-_VOTES = f"""{RES}, v as (select sent_id, predicate, sum(case classifier when 0 then 3.0 when 1 then 2.0 else 1.0 end) filter (value = 1) as yes, sum(case classifier when 0 then 3.0 when 1 then 2.0 else 1.0 end) filter (value = 0) as no
-    from res where predicate is not null and classifier is not null and value is not null group by 1, 2)"""
+_CHOICES = f"""{PASS},
+    num as (select *, row_number() over (partition by predicate, aspect, has_sie, labels order by frame_id) as r from pas),
+    step as (select distinct predicate, aspect, has_sie, labels, 0::bigint as r, null::bigint as frame_id, []::varchar[] as seen from num
+             union all select n.predicate, n.aspect, n.has_sie, n.labels, n.r,
+                    case when list_has_all(met, seen) and len(met) > len(seen) then n.frame_id when len(seen) = 0 or (list_has_all(seen, met) and len(seen) > len(met)) then s.frame_id end,
+                    case when list_has_all(met, seen) and len(met) > len(seen) then met else seen end
+             from step s join num n on {_SAME('s', 'n')} and n.r = s.r + 1),
+    grow as (select predicate, aspect, has_sie, labels, frame_id from (select * from step qualify row_number() over (partition by predicate, aspect, has_sie, labels order by r desc) = 1) where frame_id is not null),
+    cnt as (select predicate, aspect, has_sie, labels, frame_id, count(slot) as n_matched from mat group by all),
+    uniq as (select predicate, aspect, has_sie, labels, frame_id from (select *, row_number() over (partition by predicate, aspect, has_sie, labels order by n_matched desc, frame_id) as r, count(*) over (partition by predicate, aspect, has_sie, labels, n_matched) as same from cnt) where r = 1 and same = 1 and n_matched > 0),
+    lone as (select predicate, aspect, has_sie, labels, min(frame_id) as frame_id from pas group by 1, 2, 3, 4 having count(*) = 1)"""
 
 
-@query(f"with {_VOTES} select sent_id, predicate, coalesce(yes, 0) as votes from (select *, row_number() over (partition by sent_id order by coalesce(yes, 0) desc, predicate) as r from v) where r = 1 and coalesce(yes, 0) >= 2")
-def o129_vote(spark, d):
-    """Weighted votes of the classifiers per sentence and predicate; the top one if it has enough, ties by name."""
-    r = _results(spark, d).where("predicate is not null and classifier is not null and value is not null")
-    weight = F.when(F.col("classifier") == 0, 3.0).when(F.col("classifier") == 1, 2.0).otherwise(1.0)
-    votes = r.groupBy("sent_id", "predicate").agg(F.coalesce(F.sum(F.when(F.col("value") == 1, weight)), F.lit(0.0)).alias("votes"))
-    top = votes.groupBy("sent_id").agg(F.min_by(F.struct("predicate", "votes"), F.struct(-F.col("votes"), "predicate")).alias("x"))
-    return top.select("sent_id", "x.predicate", "x.votes").where("votes >= 2")
+def _choices(spark, d) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Cases, and the frames that the table choosers give them: the scan for a growing set, the single largest number of matches, the only frame that passes the filters."""
+    keys = ["predicate", "aspect", "has_sie", "labels"]
+    cases = V.occurrence_cases(C.occurrences(t := _tokens(spark, d)), C.arguments(t)).where("predicate is not null")
+    frames = _frames(spark, d)
+    lone = V.passing_frames(cases, frames).groupBy(*keys).agg(F.min("frame_id").alias("frame_id"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    pick = lambda df: df.select(*keys, "frame_id")
+    return cases, {"grow": pick(V.growing_frames(cases, frames)), "uniq": pick(V.max_frames(cases, frames)), "lone": pick(lone)}
 
 
-@query(f"""with {RES}, s as (select sent_id, predicate, min(classifier) filter (value = 1) as stage, max(classifier) as last_stage from res where predicate is not null and classifier is not null group by 1, 2)
-    select sent_id, predicate, coalesce(stage, last_stage) as stage, stage is not null as decided from s""")
+@query(f"""with recursive {_CHOICES},
+    v as (select predicate, aspect, has_sie, labels, frame_id, sum(w) as votes from (select *, 8 as w from grow union all select *, 10 from uniq union all select *, 7 from lone) group by 1, 2, 3, 4, 5),
+    b as (select *, row_number() over (partition by predicate, aspect, has_sie, labels order by votes desc, frame_id) as r from v)
+    select oc.sent_id, oc.predicate_no, b.frame_id, (votes / 10)::double as votes from b join oc on {_SAME('oc', 'b')} where r = 1 and votes >= 10""")
+def o129_vote(spark, d):
+    """Weighted votes of three choosers per occurrence (0.8, 1.0 and 0.7); the frame with the most if that is at least 1, of two equal ones the first."""
+    keys = ["predicate", "aspect", "has_sie", "labels"]
+    cases, choices = _choices(spark, d)
+    votes = None
+    for name, weight in (("grow", 8), ("uniq", 10), ("lone", 7)):
+        own = choices[name].withColumn("w", F.lit(weight))
+        votes = own if votes is None else votes.unionByName(own)
+    votes = votes.groupBy(*keys, "frame_id").agg(F.sum("w").alias("votes"))
+    top = votes.groupBy(*keys).agg(F.min(F.struct((-F.col("votes")).alias("minus"), "frame_id")).alias("x")).where("x.minus <= -10")
+    return cases.join(top, keys).select("sent_id", "predicate_no", "x.frame_id", (-F.col("x.minus") / 10).alias("votes"))
+
+
+@query(f"""with recursive {_CHOICES}
+    select oc.sent_id, oc.predicate_no, coalesce(g.frame_id, u.frame_id, l.frame_id) as frame_id, case when g.frame_id is not null then 0 when u.frame_id is not null then 1 else 2 end as stage
+    from oc left join grow g on {_SAME('oc', 'g')} left join uniq u on {_SAME('oc', 'u')} left join lone l on {_SAME('oc', 'l')} where oc.predicate is not null""")
 def o130_cascade(spark, d):
-    """The first classifier in order that decides, else the last one."""
-    r = _results(spark, d).where("predicate is not null and classifier is not null")
-    s = r.groupBy("sent_id", "predicate").agg(F.min(F.when(F.col("value") == 1, F.col("classifier"))).alias("first"), F.max("classifier").alias("last"))
-    return s.select("sent_id", "predicate", F.coalesce("first", "last").alias("stage"), F.col("first").isNotNull().alias("decided"))
+    """The first of three choosers that decides, for every occurrence; the last one's number and no frame where all abstain."""
+    keys = ["predicate", "aspect", "has_sie", "labels"]
+    cases, choices = _choices(spark, d)
+    for name, df in choices.items():
+        cases = cases.join(df.withColumnRenamed("frame_id", name), keys, "left")
+    stage = F.when(F.col("grow").isNotNull(), 0).when(F.col("uniq").isNotNull(), 1).otherwise(2)
+    return cases.select("sent_id", "predicate_no", F.coalesce("grow", "uniq", "lone").alias("frame_id"), stage.alias("stage"))
 
 
 @query(f"""with {SR}, c as (select predicate, slot, head, count(*) as n from sr where head is not null group by 1, 2, 3), ps as (select predicate, slot, sum(n) as n_ps from c group by 1, 2), hs as (select slot, head, sum(n) as n_h from c group by 1, 2), s as (select slot, sum(n) as n_s from c group by 1)
