@@ -171,6 +171,33 @@ def o136_frame_features(spark, d):
     return rows.select("sent_id", "predicate_no", "frame_id", "n_labels", "n_matched", "n_slots", "has_sie", F.coalesce("neg", F.lit(False)).alias("is_negated"))
 
 
+@query(f"""with {OCC}, {FRAMES}, {CAND}, {SLOTS}, {CASE}, {MATCH},
+    sr as (select lower(o.predicate) as predicate, label as slot, a.base as head from arg a join occ o on o.sent_id = a.sent_id and o.predicate_no = a.predicate_no where o.predicate is not null and a.base is not null),
+    c as (select predicate, slot, head, count(*) as n from sr group by 1, 2, 3), ps as (select predicate, slot, sum(n) as n_ps from c group by 1, 2), hs as (select slot, head, sum(n) as n_h from c group by 1, 2), s as (select slot, sum(n) as n_s from c group by 1),
+    ass as (select predicate, slot, head, (n / n_ps) * ln((n / n_ps) / (n_h / n_s)) as association from c join ps using (predicate, slot) join hs using (slot, head) join s using (slot)),
+    fsl as (select frame_id, unnest(range(len(arguments)))::int as slot from fr),
+    x as (select distinct predicate, aspect, has_sie, labels, frame_id from mat)
+    select oc.sent_id, oc.predicate_no, x.frame_id, fsl.slot, (count(a.word_no) > 0)::int as has_, count(a.word_no) as n_, round(max(ass.association), 6) as selassoc_
+    from oc join x on oc.predicate = x.predicate and oc.aspect = x.aspect and oc.has_sie = x.has_sie and oc.labels = x.labels join fsl on fsl.frame_id = x.frame_id
+    left join mat m on m.predicate = x.predicate and m.aspect = x.aspect and m.has_sie = x.has_sie and m.labels = x.labels and m.frame_id = x.frame_id and m.slot = fsl.slot
+    left join arg a on a.sent_id = oc.sent_id and a.predicate_no = oc.predicate_no and a.label = m.label left join ass on ass.predicate = oc.predicate and ass.slot = a.label and ass.head = a.base group by 1, 2, 3, 4""")
+def o136_slot_features(spark, d):
+    """Feature rows per slot of (occurrence, candidate frame): whether and how often it is met, and the largest selectional association of the heads in it (null without any)."""
+    t, frames = _tokens(spark, d), _frames(spark, d)
+    args = C.arguments(t)
+    cases = V.occurrence_cases(C.occurrences(t), args).where("predicate is not null")
+    keys = ["predicate", "aspect", "has_sie", "labels"]
+    matched = V.matched_slots(cases, frames)
+    slots = frames.where("size(arguments) > 0").select("frame_id", F.explode(F.sequence(F.lit(0), F.size("arguments") - 1)).alias("slot"))
+    known = S.selectional_association(_sr(spark, d), "predicate", "slot", "head").select("predicate", F.col("slot").alias("label"), F.col("head").alias("base"), "association")
+    at = ["sent_id", "predicate_no", "frame_id", "slot"]
+    hits = cases.join(matched.where("slot is not null"), keys).join(args.select("sent_id", "predicate_no", "label", "base"), ["sent_id", "predicate_no", "label"]).join(known, ["predicate", "label", "base"], "left")
+    hits = hits.groupBy(*at).agg(F.count(F.lit(1)).alias("n_"), F.max("association").alias("selassoc_"))
+    every = cases.join(matched.select(*keys, "frame_id").distinct(), keys).join(slots, "frame_id")
+    rows = every.select(*at).join(hits, at, "left")
+    return rows.select(*at, F.col("n_").isNotNull().cast("int").alias("has_"), F.coalesce("n_", F.lit(0)).alias("n_"), F.round("selassoc_", 6).alias("selassoc_"))
+
+
 @query("""with c as (select lang, count(*) as n from documents where lang is not null group by 1), i as (select lang, row_number() over (order by n desc, lang) - 1 as idx from c)
     select doc_id, coalesce(idx, -1)::int as lang_index, coalesce((idx = 0)::int, 0) as top_0, coalesce((idx = 1)::int, 0) as top_1, coalesce((idx = 2)::int, 0) as top_2 from documents d left join i using (lang)""")
 def o141_encoders(spark, d):
