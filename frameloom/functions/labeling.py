@@ -200,7 +200,7 @@ class ChainCRF:
             for s in rng.permutation(len(data)):
                 if not len(gold[s]):
                     continue
-                p, pp = made._marginals([made.weights[f].sum(0) if len(f) else np.zeros(len(labels)) for f in data[s]])
+                p, pp = made._marginals(made._scores(data[s]))
                 for i, f in enumerate(data[s]):
                     delta = -p[i]
                     delta[gold[s][i]] += 1
@@ -222,26 +222,28 @@ class ChainCRF:
         number = {old: new for new, old in enumerate(kept.tolist())}
         return ChainCRF(self.template, self.labels, {f: number[i] for f, i in self.index.items() if i in number}, self.weights[kept].astype(np.float32), self.pairs)
 
-    def _marginals(self, scores: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def _marginals(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of every label of every token, and the expected label pairs, by scaled forward and backward vectors."""
         n, k = len(scores), len(self.labels)
-        lse = lambda x, axis: (m := x.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis))
-        fwd, bwd = np.zeros((n, k)), np.zeros((n, k))
-        fwd[0] = scores[0]
-        for i in range(1, n):
-            fwd[i] = scores[i] + lse(fwd[i - 1][:, None] + self.pairs, 0)
+        local, step = np.exp(scores - scores.max(1, keepdims=True)), np.exp(self.pairs - self.pairs.max())
+        fwd, bwd, scale = np.zeros((n, k)), np.ones((n, k)), np.ones(n)
+        for i in range(n):
+            row = local[i] if i == 0 else (fwd[i - 1] @ step) * local[i]
+            scale[i] = max(row.sum(), 1e-300)
+            fwd[i] = row / scale[i]
         for i in range(n - 2, -1, -1):
-            bwd[i] = lse(self.pairs + (scores[i + 1] + bwd[i + 1])[None, :], 1)
-        z = lse(fwd[-1], 0)
-        pairs = sum((np.exp(fwd[i][:, None] + self.pairs + (scores[i + 1] + bwd[i + 1])[None, :] - z) for i in range(n - 1)), np.zeros((k, k)))
-        return np.exp(fwd + bwd - z), pairs
+            bwd[i] = step @ (local[i + 1] * bwd[i + 1]) / scale[i + 1]
+        pairs = step * (fwd[:-1].T @ (local[1:] * bwd[1:] / scale[1:, None]))
+        return fwd * bwd, pairs
+
+    def _scores(self, found: list[np.ndarray]) -> np.ndarray:
+        return np.array([self.weights[f].sum(0) if len(f) else np.zeros(len(self.labels)) for f in found], float)
 
     def predict(self, rows: list[list[str]]) -> list[list[Label]]:
         """Every label of every token with its marginal probability, the best first."""
         if not rows:
             return []
-        scores = []
-        for i in range(len(rows)):
-            known = [self.index[f] for f in self.template.features(rows, i) if f in self.index]
-            scores.append(self.weights[known].sum(0) if known else np.zeros(len(self.labels)))
-        p, _ = self._marginals(scores)
-        return [sorted(((x, float(v)) for x, v in zip(self.labels, row)), key=lambda y: (-y[1], y[0])) for row in p]
+        found = [np.array([self.index[f] for f in self.template.features(rows, i) if f in self.index], int) for i in range(len(rows))]
+        p, _ = self._marginals(self._scores(found))
+        order = np.argsort(-p, axis=1, kind="stable")  # labels are in order of their names, which breaks ties
+        return [[(self.labels[j], v) for j, v in zip(at, values)] for at, values in zip(order.tolist(), np.take_along_axis(p, order, 1).tolist())]

@@ -66,17 +66,16 @@ def nearest_by_argument(tokens: DataFrame) -> DataFrame:
 def governing_noun(tokens: DataFrame) -> DataFrame:
     """Noun to the left that a preposition can hang on (O-89): four passes over up to five tokens, each looking for a wider kind
     (nouns not in the genitive, noun-like ones not in it, any noun, anything noun-like) until a token that is no nominal."""
-    tag = lambda i: F.coalesce(F.lag("ctag", i).over(_order()), F.lit(""))
-    starts = lambda i, *kinds: reduce(lambda a, b: a | b, [tag(i).startswith(k) for k in kinds])
-    nominal = lambda i: starts(i, "subst", "psubst", "adj", "padj", "ppron", "depr")
-    noun, like, gen = (lambda i: starts(i, "subst")), (lambda i: starts(i, "subst", "ppron", "depr")), (lambda i: tag(i).contains(":gen"))
-    passes = [lambda i: noun(i) & ~gen(i), lambda i: like(i) & ~gen(i), noun, like]
-    options = []
-    for wanted in passes:
-        for i in range(1, 6):
-            open_ = reduce(lambda a, b: a & b, [nominal(j) for j in range(1, i)], F.lit(True))
-            options.append(F.when(open_ & wanted(i), F.lag("word_no", i).over(_order())))
-    return tokens.select("sent_id", "word_no", "ctag", F.coalesce(*options).alias("noun_no")).where(_yes(F.col("ctag").startswith("prep"))).select("sent_id", "word_no", "noun_no")
+    lags = [x for i in range(1, 6) for x in (F.coalesce(F.lag("ctag", i).over(_order()), F.lit("")).alias(f"__tag{i}"), F.lag("word_no", i).over(_order()).alias(f"__no{i}"))]
+    preps = tokens.select("sent_id", "word_no", "ctag", *lags).where(_yes(F.col("ctag").startswith("prep")))
+    kind = lambda x, *kinds: reduce(lambda a, b: a | b, [x["tag"].startswith(k) for k in kinds])
+    before = F.array(*[F.struct(F.col(f"__no{i}").alias("no"), F.col(f"__tag{i}").alias("tag")) for i in range(1, 6)])
+    # no pass goes further than the first token that is no nominal
+    stop = F.array_position(F.transform(before, lambda x: kind(x, "subst", "psubst", "adj", "padj", "ppron", "depr")), False)
+    within = F.slice(before, F.lit(1), F.when(stop == 0, 5).otherwise(stop.cast("int")))
+    direct = lambda x: ~F.contains(x["tag"], F.lit(":gen"))
+    passes = [lambda x: kind(x, "subst") & direct(x), lambda x: kind(x, "subst", "ppron", "depr") & direct(x), lambda x: kind(x, "subst"), lambda x: kind(x, "subst", "ppron", "depr")]
+    return preps.select("sent_id", "word_no", F.coalesce(*[F.get(F.filter(within, f), F.lit(0))["no"] for f in passes]).alias("noun_no"))
 
 
 def chunk_heads(tokens: DataFrame, groups: DataFrame) -> DataFrame:

@@ -705,7 +705,7 @@ def o101_attached_arguments(spark, d):
 def _labelled_sentences(spark, d) -> DataFrame:
     """Sentences with all that the labeller looks at."""
     t = K.chunk_heads(_tokens(spark, d), table(spark, d, "nkjp_groups"))
-    keys = K.preposition_keys(_tokens(spark, d))
+    keys = cut(K.preposition_keys(_tokens(spark, d)))
     return A.nested_sentences(t.join(K.pp_attachment_noun(keys, K.attachment_statistics(keys)), ["sent_id", "word_no"], "left"))
 
 

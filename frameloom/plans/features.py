@@ -15,7 +15,7 @@ from frameloom.operators import tokens as K
 from frameloom.operators.hierarchy import ancestor_pairs
 from frameloom.plans.general import synset_edges
 from frameloom.plans.corpus import CAND, CASE, FRAMES, MATCH, OCC, SLOTS, SR, TOK, VERB, _frames, _sr, _tokens
-from frameloom.runtime import table
+from frameloom.runtime import cut, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -108,7 +108,7 @@ def o84_chunk_heads(spark, d):
     select sent_id, word_no, case when verb_p < 0.5 and 1 - verb_p >= 0.01 then 'noun' else '_' end as pp from k left join st using (verb, noun, prep, case_)""")
 def o86_pp_attachment_noun(spark, d):
     """Column 7 of the labeller's features, with the attachment table made from the corpus."""
-    keys = K.preposition_keys(_tokens(spark, d))
+    keys = cut(K.preposition_keys(_tokens(spark, d)))
     return K.pp_attachment_noun(keys, K.attachment_statistics(keys))
 
 
