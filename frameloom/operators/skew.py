@@ -13,8 +13,8 @@ from frameloom.runtime import cut
 def heavy_keys(df: DataFrame, key: str, heavy_share: float) -> dict[str, int]:
     """Salts per heavy key: every key with more than ``heavy_share`` of the rows, with so many salts that no
     (key, salt) keeps more than that share. At most ``1 / heavy_share`` keys reach the driver."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    total = df.count()
+    counts = cut(df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")))
+    total = counts.agg(F.sum("__n")).first()[0]
     if not total:
         return {}
     rows = counts.where((F.col("__n") > heavy_share * total) & F.col(key).isNotNull()).collect()
