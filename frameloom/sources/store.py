@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import html
-import re
 from collections.abc import Callable
 from xml.sax.saxutils import escape
 
@@ -75,44 +74,71 @@ def plain_tag(ctag: str) -> str:
     return ctag
 
 
+CCL = (['<?xml version="1.0" encoding="UTF-8"?>', '<!DOCTYPE chunkList SYSTEM "ccl.dtd">', "<chunkList>", ' <chunk id="ch1" type="p">'], [" </chunk>", "</chunkList>"])
+XCES = (['<?xml version="1.0" encoding="UTF-8"?>', "<cesAna>", " <chunkList>"], [" </chunkList>", "</cesAna>"])
+
+
+def _ccl_sentence(sid: str, words: list[dict]) -> list[str]:
+    out = [f'  <sentence id="{html.escape(sid)}">']
+    for w in words:
+        out += ["   <tok>", f"    <orth>{escape(w['orth'])}</orth>", f'    <lex disamb="1"><base>{escape(w["base"])}</base><ctag>{escape(plain_tag(w["ctag"]))}</ctag></lex>', "   </tok>"]
+        if w.get("nps"):
+            out.append("   <ns/>")
+    return [*out, "  </sentence>"]
+
+
+def _xces_sentence(_: str, words: list[dict]) -> list[str]:
+    out = ['  <chunk type="s">']
+    for w in words:
+        out.append(f'   <tok><orth>{escape(w["orth"])}</orth><lex disamb="1"><base>{escape(w["base"])}</base><ctag>{escape(w["ctag"])}</ctag></lex></tok>')
+        if w.get("nps"):
+            out.append("   <ns/>")
+    return [*out, "  </chunk>"]
+
+
 def ccl_xml(sentences: list[tuple[str, list[dict]]]) -> str:
     """A chunked file without chunks from (id, words) (O-27)."""
-    out = ['<?xml version="1.0" encoding="UTF-8"?>', '<!DOCTYPE chunkList SYSTEM "ccl.dtd">', "<chunkList>", ' <chunk id="ch1" type="p">']
-    for sid, words in sentences:
-        out.append(f'  <sentence id="{html.escape(sid)}">')
-        for w in words:
-            out += ["   <tok>", f"    <orth>{escape(w['orth'])}</orth>", f'    <lex disamb="1"><base>{escape(w["base"])}</base><ctag>{escape(plain_tag(w["ctag"]))}</ctag></lex>', "   </tok>"]
-            if w.get("nps"):
-                out.append("   <ns/>")
-        out.append("  </sentence>")
-    return "\n".join([*out, " </chunk>", "</chunkList>", ""])
+    return "\n".join([*CCL[0], *[x for sid, words in sentences for x in _ccl_sentence(sid, words)], *CCL[1], ""])
 
 
 def xces_xml(sentences: list[list[dict]]) -> str:
     """An XCES file of words with their chosen reading (O-28); marks are escaped the usual way."""
-    out = ['<?xml version="1.0" encoding="UTF-8"?>', "<cesAna>", " <chunkList>"]
-    for words in sentences:
-        out.append('  <chunk type="s">')
-        for w in words:
-            out.append(f'   <tok><orth>{escape(w["orth"])}</orth><lex disamb="1"><base>{escape(w["base"])}</base><ctag>{escape(w["ctag"])}</ctag></lex></tok>')
-            if w.get("nps"):
-                out.append("   <ns/>")
-        out.append("  </chunk>")
-    return "\n".join([*out, " </chunkList>", "</cesAna>", ""])
+    return "\n".join([*XCES[0], *[x for words in sentences for x in _xces_sentence("", words)], *XCES[1], ""])
 
 
-def write_ccl(df: DataFrame, path: str) -> None:
-    """Sentences (sent_id, words) as chunked files, one per partition (O-27): written as whole texts."""
+def _write_files(df: DataFrame, path: str, frame: tuple[list[str], list[str]], sentence) -> None:
+    """One file per partition, written line by line: no more than a batch of sentences is held. Null words, forms, lemmas and tags are written empty; a null sentence has no words."""
+
+    def plain(w) -> dict:
+        w = w.asDict() if hasattr(w, "asDict") else dict(w or {})
+        return {k: w.get(k) or "" for k in ("orth", "base", "ctag")} | {"nps": bool(w.get("nps"))}
 
     def run(batches):
         import pandas as pd
 
-        rows = [(str(s), [w.asDict() if hasattr(w, "asDict") else dict(w) for w in ws]) for b in batches for s, ws in zip(b["sent_id"], b["words"])]
-        yield pd.DataFrame({"value": [re.sub("\n$", "", ccl_xml(rows))] if rows else []})
+        begun = False
+        for b in batches:
+            lines = [] if begun or not len(b) else list(frame[0])
+            begun = begun or bool(len(b))
+            for sid, words in zip(b["sent_id"], b["words"]):
+                lines += sentence(str(sid), [plain(w) for w in (() if words is None else words)])
+            yield pd.DataFrame({"value": lines}, dtype=object)
+        if begun:
+            yield pd.DataFrame({"value": frame[1]})
 
     df.select("sent_id", "words").mapInPandas(run, "value string").write.mode("overwrite").text(path)
 
 
+def write_ccl(df: DataFrame, path: str) -> None:
+    """Sentences (sent_id, words) as chunked files (O-27)."""
+    _write_files(df, path, CCL, _ccl_sentence)
+
+
+def write_xces(df: DataFrame, path: str) -> None:
+    """Sentences (sent_id, words) as XCES files (O-28)."""
+    _write_files(df, path, XCES, _xces_sentence)
+
+
 def html_report(rows: list[dict], columns: list[str], good: str | None = None) -> str:
     """An HTML table of a bounded sample of rows; cells of ``good`` are green or red (O-34)."""
     cell = lambda c, v: f'<td style="background:{"#cfc" if v else "#fcc"}">{html.escape(str(v))}</td>' if c == good else f"<td>{html.escape('' if v is None else str(v))}</td>"

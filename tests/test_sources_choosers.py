@@ -36,6 +36,13 @@ def test_ccl(spark, tmp_path):
     assert again[0]["words"] == s["words"]
     K.write_ccl(df, str(tmp_path / "out"))
     assert "<orth>kota</orth>" in "".join(p.read_text() for p in (tmp_path / "out").glob("part*"))
+    written = [D.parse_ccl(p.read_bytes()) for p in (tmp_path / "out").glob("part*") if p.stat().st_size]
+    assert [x["words"] for found in written for x in found] == [s["words"]]
+    odd = spark.createDataFrame([(7, [("a\nb", None, "x", None)]), (None, None)], "sent_id long, words array<struct<orth string, base string, ctag string, nps boolean>>")
+    K.write_xces(odd.coalesce(1), str(tmp_path / "xces"))
+    text = "".join(p.read_text() for p in (tmp_path / "xces").glob("part*"))
+    assert text.count('<chunk type="s">') == 2 and text.rstrip().endswith("</cesAna>") and "<base></base>" in text
+    K.write_ccl(df.limit(0), str(tmp_path / "empty"))
     assert "&amp;" in K.xces_xml([s["words"]]) and K.plain_tag("padv:x") == "adv:x"
 
 
