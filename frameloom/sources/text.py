@@ -92,6 +92,18 @@ def flat_dictionary(frames: DataFrame) -> DataFrame:
     return rows.unionByName(with_sie).distinct()
 
 
+def read_old_frames(spark: SparkSession, path: str) -> DataFrame:
+    """The older dictionary (O-13): predicate, aspect (the fourth of five fields), arguments (modifiers, realizations).
+
+    Comments (``%``), blank lines and lines of fewer fields fall away, as do slots without braces. Slots are parted by ``+`` wherever it stands."""
+    line = F.trim(F.regexp_replace("value", "\ufeff", " "))
+    rows = spark.read.text(path).select(F.split(line, ":", 5).alias("x")).where((F.size("x") == 5) & ~F.startswith(F.col("x")[0], F.lit("%")))
+    pieces = lambda text, mark: F.transform(F.split(text, mark), lambda x: F.trim(x))
+    slot = lambda s: F.struct(F.filter(pieces(F.regexp_extract(s, r"^([^{]*)\{", 1), ","), lambda x: x != "").alias("modifiers"), pieces(F.regexp_extract(s, r"^[^{]*\{(.*).$", 1), ";").alias("realizations"))
+    slots = F.transform(F.filter(pieces(F.col("x")[4], r"\+"), lambda s: F.contains(s, F.lit("{"))), slot)
+    return rows.select(F.trim(F.col("x")[0]).alias("predicate"), F.trim(F.col("x")[3]).alias("aspect"), slots.alias("arguments"))
+
+
 def read_phrase_types(spark: SparkSession, path: str) -> DataFrame:
     """(type, member) of a phrase-type list (O-14): ``type-->`` headers with indented members. One small ordered file."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("place", "line"))

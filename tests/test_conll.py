@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from frameloom.functions import labeling as B
 from frameloom.functions.attachment import Word
 from frameloom.operators import tokens as K
-from frameloom.sources.text import labels_with_probabilities, read_conll
+from frameloom.sources.text import labels_with_probabilities, read_conll, read_old_frames
 
 
 def test_read_conll(spark, tmp_path):
@@ -56,3 +56,9 @@ def test_jako_columns(spark):
     tokens = spark.createDataFrame(rows, "sent_id long, word_no int, orth string, base string, ctag string, label string, predicate_no int")
     got = {tuple(r) for r in K.jako_fillers(tokens).collect()}
     assert got == want and {x[2] for x in want} == {"prepadjp(jako,str)", "prepnp(jako,str)"}
+
+
+def test_old_dictionary(spark, tmp_path):
+    (tmp_path / "old.txt").write_text("\ufeff% a note\n\nbać się: pewny: : imperf: subj{np(str)}+{cp(że); np(dop)} + controller, obj{infp(_)}\nkrótki: pewny\nżyć: pewny: : _: zły\n", encoding="utf-8")
+    rows = {r["predicate"]: (r["aspect"], [(list(a["modifiers"]), list(a["realizations"])) for a in r["arguments"]]) for r in read_old_frames(spark, str(tmp_path)).collect()}
+    assert rows == {"bać się": ("imperf", [(["subj"], ["np(str)"]), ([], ["cp(że)", "np(dop)"]), (["controller", "obj"], ["infp(_)"])]), "żyć": ("_", [])}
