@@ -132,7 +132,8 @@ def ngram_counts(df: DataFrame, record: str, position: str, term: str, max_len:
     routed = routed.withColumn("salt", F.when(F.col("record").isNull(), 0).otherwise(F.pmod(F.xxhash64("record"), F.coalesce("salts", F.lit(1).cast("long")))))
     # shards lie together by a hash, which sorts faster than their names; of equal hashes the names decide
     shard = [F.xxhash64(*g, "first", "salt"), *g, "first", "salt"] + ([F.col("suffix").desc()] if max_len > 1 else [])
-    ordered = routed.select(*g, "first", "salt", "suffix", "record", "times").repartition(*g, "first", "salt").sortWithinPartitions(*shard, "record")
+    carried = ["suffix"] if max_len > 1 else []  # of a single term the first is all
+    ordered = routed.select(*g, "first", "salt", *carried, "record", "times").repartition(*g, "first", "salt").sortWithinPartitions(*shard, "record")
     fields = [ordered.schema[c] for c in g]
     out = T.StructType([*fields, T.StructField("ngram", T.ArrayType(T.StringType())), T.StructField("n", T.LongType()), T.StructField("n_records", T.LongType())])
 
@@ -151,7 +152,8 @@ def ngram_counts(df: DataFrame, record: str, position: str, term: str, max_len:
                 continue
             kinds = [batch.schema.field(c).type for c in g]
             keys = [batch.column(c) for c in (*g, "salt")]
-            suffix, record = batch.column("suffix"), batch.column("record")
+            suffix = batch.column("suffix") if carried else pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32)), batch.column("first"))
+            record = batch.column("record")
             starts, fresh = _runs(keys, suffix, record, max_len)
             at = np.flatnonzero(starts)
             counts, ends = np.add.reduceat(batch.column("times").to_numpy(), at), np.append(at[1:], len(starts))
@@ -171,7 +173,7 @@ def ngram_counts(df: DataFrame, record: str, position: str, term: str, max_len:
         if held:
             yield flush(kinds)
 
-    parts = ordered.select(*g, "salt", "record", "suffix", "times").mapInArrow(run, out)
+    parts = ordered.select(*g, "salt", "record", *(carried or ["first"]), "times").mapInArrow(run, out)
     merged = parts.groupBy(*g, "ngram").agg(F.sum("n").alias("n"), F.sum("n_records").alias("n_records"))
     return merged.select(*[F.col(a).alias(c) for c, a in zip(groups, g)], "ngram", "n", "n_records")
 
