@@ -57,6 +57,20 @@ def matched_slots(cases: DataFrame, frames: DataFrame) -> DataFrame:
     return per
 
 
+def label_slots(labels: DataFrame, frames: DataFrame) -> DataFrame:
+    """(frame_id, label, slot): the first slot of each frame that takes a label (O-49, O-110). This doesn't depend on the occurrence, so it is as large as the
+    dictionary; ``labels`` has each label once."""
+    wanted = labels.where("label <> 'sie'").select("label", F.explode(L.realizations(F.col("label"), F.lit(""))).alias("realization"))
+    return frame_slots(frames).join(wanted, "realization").groupBy("frame_id", "label").agg(F.min("slot").alias("slot"))
+
+
+def frame_keys(cases: DataFrame) -> DataFrame:
+    """``cases`` with the dictionary lemmas to look up as ``f_predicate`` (O-47): the own one, where ``needs_refl`` is set with ``sie``, and then that with się."""
+    own = F.struct(F.col("predicate").alias("f_predicate"), F.col("has_sie").alias("needs_refl"))
+    with_sie = F.struct(F.concat("predicate", F.lit(" się")).alias("f_predicate"), F.lit(False).alias("needs_refl"))
+    return cases.select("*", F.inline(F.when(F.col("has_sie"), F.array(own, with_sie)).otherwise(F.array(own))))
+
+
 def max_frames(cases: DataFrame, frames: DataFrame) -> DataFrame:
     """Frame with the single largest number of matched labels per case; no row on a tie or without a match (O-117 in its
     set-free form)."""

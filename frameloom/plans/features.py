@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from frameloom.functions import labels as L
@@ -15,7 +16,7 @@ from frameloom.operators import tokens as K
 from frameloom.operators.hierarchy import ancestor_pairs
 from frameloom.plans.general import synset_edges
 from frameloom.plans.corpus import CAND, CASE, FRAMES, MATCH, OCC, SLOTS, SR, TOK, VERB, _frames, _sr, _tokens
-from frameloom.runtime import cut, table
+from frameloom.runtime import cut, table, task_count
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -183,19 +184,54 @@ def o136_frame_features(spark, d):
     left join arg a on a.sent_id = oc.sent_id and a.predicate_no = oc.predicate_no and a.label = m.label left join ass on ass.predicate = oc.predicate and ass.slot = a.label and ass.head = a.base group by 1, 2, 3, 4""")
 def o136_slot_features(spark, d):
     """Feature rows per slot of (occurrence, candidate frame): whether and how often it is met, and the largest selectional association of the heads in it (null without any)."""
-    t, frames = _tokens(spark, d), _frames(spark, d)
-    args = C.arguments(t)
-    cases = V.occurrence_cases(C.occurrences(t), args).where("predicate is not null")
-    keys = ["predicate", "aspect", "has_sie", "labels"]
-    matched = V.matched_slots(cases, frames)
-    slots = frames.where("size(arguments) > 0").select("frame_id", F.explode(F.sequence(F.lit(0), F.size("arguments") - 1)).alias("slot"))
-    known = S.selectional_association(_sr(spark, d), "predicate", "slot", "head").select("predicate", F.col("slot").alias("label"), F.col("head").alias("base"), "association")
+    t = _tokens(spark, d)
+    return slot_features(cut(C.arguments(t)), cut(C.occurrences(t)), _frames(spark, d))
+
+
+#: Parts into which the slots of a predicate's frames are dealt, so that many tasks share a frequent predicate.
+PARTS = 64
+
+
+def slot_features(args, occurrences, frames):
+    """The rows of ``o136_slot_features``.
+
+    Slots that take the same set of labels are one kind, and an occurrence has a number and an association for each kind that it meets. The pairs of occurrences
+    and slots, which are as many as rows come out, are made by the last join and never move."""
     at = ["sent_id", "predicate_no", "frame_id", "slot"]
-    hits = cases.join(matched.where("slot is not null"), keys).join(args.select("sent_id", "predicate_no", "label", "base"), ["sent_id", "predicate_no", "label"]).join(known, ["predicate", "label", "base"], "left")
-    hits = hits.groupBy(*at).agg(F.count(F.lit(1)).alias("n_"), F.max("association").alias("selassoc_"))
-    every = cases.join(matched.select(*keys, "frame_id").distinct(), keys).join(slots, "frame_id")
-    rows = every.select(*at).join(hits, at, "left")
-    return rows.select(*at, F.col("n_").isNotNull().cast("int").alias("has_"), F.coalesce("n_", F.lit(0)).alias("n_"), F.round("selassoc_", 6).alias("selassoc_"))
+    verbs = occurrences.where("predicate is not null").withColumn("predicate", F.lower("predicate"))
+    sr = args.join(verbs.select("sent_id", "predicate_no", "predicate"), ["sent_id", "predicate_no"])
+    known = S.selectional_association(sr, "predicate", "label", "base").select("predicate", "label", "base", "association")
+    labels = V.label_slots(args.select("label").distinct(), frames)
+    kinds = labels.groupBy("frame_id", "slot").agg(F.to_json(F.array_sort(F.collect_set("label"))).alias("kind"))
+    known_frames = frames.where("predicate is not null and size(arguments) > 0")
+    slots = known_frames.select("frame_id", F.col("predicate").alias("f_predicate"), F.col("aspect").alias("f_aspect"), "has_refl", F.explode(F.sequence(F.lit(0), F.size("arguments") - 1)).alias("slot")).join(kinds, ["frame_id", "slot"], "left")
+    slots = slots.withColumn("part", F.pmod(F.xxhash64("frame_id"), F.lit(PARTS)))
+    parts = known_frames.select(F.col("predicate").alias("f_predicate"), F.pmod(F.xxhash64("frame_id"), F.lit(PARTS)).alias("part")).distinct()
+
+    cases = verbs.groupBy("sent_id", "predicate_no", "predicate", "aspect", "has_sie").agg(F.count(F.lit(1)).alias("times"))
+    cases = cut(V.frame_keys(cases).join(parts.groupBy("f_predicate").agg(F.collect_list("part").alias("parts")), "f_predicate"))
+    occurrence = ["sent_id", "predicate_no", "predicate"]
+    per = args.select("sent_id", "predicate_no", "label", "base", "word_no").join(cases.select(*occurrence).distinct(), ["sent_id", "predicate_no"]).join(known, ["predicate", "label", "base"], "left")
+    per = per.groupBy(*occurrence, "label").agg(F.count("word_no").alias("n"), F.max("association").alias("association"))
+    of = kinds.select("kind").distinct().select("kind", F.explode(F.from_json("kind", "array<string>")).alias("label"))
+    met = per.join(of, "label").groupBy(*occurrence, "kind").agg(F.sum("n").alias("n"), F.max("association").alias("association"))
+    met = met.groupBy(*occurrence).agg(F.map_from_entries(F.collect_list(F.struct("kind", F.struct("n", "association")))).alias("met"))
+    # a position that is there twice, with another lemma or aspect, may meet a frame twice
+    readings = F.size(F.collect_set(F.struct("predicate", "aspect")).over(Window.partitionBy("sent_id", "predicate_no")))
+    cases = cut(cases.withColumn("readings", readings).join(met, occurrence, "left"))
+
+    n = 4 * task_count(cases)
+    slots = slots.repartition(n, "f_predicate", "part")  # by number: adaptive execution would coalesce what is small before the join and large after it
+
+    def rows(some):
+        some = some.withColumn("part", F.explode("parts")).drop("parts").repartition(n, "f_predicate", "part")
+        pairs = some.join(slots, ["f_predicate", "part"]).where("(f_aspect = aspect or f_aspect = '_') and (not needs_refl or has_refl)")
+        hit = F.col("met")[F.col("kind")]
+        return pairs.select(*at, F.coalesce(hit["n"] * F.col("times"), F.lit(0)).alias("n_"), hit["association"].alias("selassoc_"))
+
+    several = rows(cases.where("readings > 1")).groupBy(*at).agg(F.sum("n_").alias("n_"), F.max("selassoc_").alias("selassoc_"))
+    every = rows(cases.where("readings = 1")).unionByName(several)
+    return every.select(*at, (F.col("n_") > 0).cast("int").alias("has_"), "n_", F.round("selassoc_", 6).alias("selassoc_"))
 
 
 @query("""with c as (select lang, count(*) as n from documents where lang is not null group by 1), i as (select lang, row_number() over (order by n desc, lang) - 1 as idx from c)
