@@ -4,9 +4,12 @@ import re
 
 import duckdb
 
+from frameloom.functions import choosers as H
+from frameloom.functions.attachment import Word
+from frameloom.functions.slots import parse_frame
 from frameloom.operators import annotate as A
 from frameloom.operators import corpus as C
-from frameloom.plans import features
+from frameloom.plans import corpus, features
 
 TOKEN = "sent_id bigint, word_no int, orth string, base string, ctag string, label string, predicate_no int"
 
@@ -47,3 +50,29 @@ def test_slot_features_of_repeated_positions(spark, tmp_path):
     assert tidy(df.select(*columns).collect()) == tidy(want) and len(want) == len({r[:4] for r in want})
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"Aggregate \[sent_id#\d+L?, predicate_no#\d+, frame_id#\d+L?, slot#\d+\]", plan)) == 1 and not re.search(r"Join.*slot#\d+ = slot#\d+.*sent_id|Join.*sent_id.*slot#\d+ = slot#\d+", plan)
+
+
+def test_frame_choices_plan_is_small(spark):
+    """The driver plans a handful of exchanges: what several joins read is written once."""
+    df = corpus.o130_frame_choices(spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 12
+
+
+def test_alike_cases_choose_as_alone():
+    """Cases that share matches choose like cases of their own, also where words next to an argument or heads decide."""
+    frames = [parse_frame(f"robić: pewny: _: : imperf: {x}") for x in ("subj{np(str)} + obj{np(str)}", "subj{np(str)} + {np(dat)}", "{lex(np(acc),sg,'kot',natr)}", "{xp(mod)} + obj{np(str)}", "{np(acc)}", "{comprepnp(w czasie)} + {np(acc)}")]
+    know = H.Knowledge({"robić": frames}, {}, {frames[0].text: 3.0}, {(frames[0].text, "obj{np(str)}"): 3.0}, similarity={"random": H.random_similarity()})
+    alike, cascade = H.Alike(frames), H.Cascade("max:false,lex:true,bayes:true:0.1:20.0:false,cost,vec:random:0.1")
+    found = []
+    for labels in (("subj", "np(bier)"), ("np(bier)",), ("np(cel)",), ("subj", "advp")):
+        for lead in ([], ["w"], ["w", "czasie"], ["a", "b", "c"]):
+            for noun in ("pies", "kot", "dom"):
+                words = [Word(x, x, "subst:sg:acc:m") for x in (*lead, "robić", *[noun] * len(labels), "nic")]
+                args = [[] for _ in words]
+                for i, x in enumerate(labels):
+                    args[len(lead) + 1 + i] = [(x, len(lead) + 1 + i)]
+                case = H.Case("robić", "imperf", words, args, args, know)
+                alone = H.Case("robić", "imperf", words, args, args, know)
+                assert cascade.choose(alike.case(case)) == cascade.choose(alone), (labels, lead, noun)
+                found.append(case)
+    assert len(alike.first) < len(found)
